@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passagelake.llm import bpe
-from passagelake.llm.common import read
+from passagelake.llm import bpe, mixing, warc
+from passagelake.llm.common import read, written
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with source weights 5, 2, 1, ... takes of every document."""
+    sized = written(mixing.sizes(read(spark, sf_dir, "documents"), ["doc_id", "source"]), "sized")
+    drawn = mixing.draw(sized, mixing.plan(sized))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+
+
+def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the normalised archives of all pages hold."""
+    return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +32,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mix_sources": op2_mix_sources,
+        "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
+OP9_SQL = """
+WITH seen AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM seen WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, s.payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM seen s LEFT JOIN firsts f ON s.payload_digest = f.payload_digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_warc_normaliser": OP9_SQL,
+    }
