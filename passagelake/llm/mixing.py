@@ -3,8 +3,9 @@
 Every source has a target number of words. A document's expected copies are certain whole copies
 plus a fraction, its inclusion probability p for one more copy. All documents get a random number
 u, a hash of seed and document id; documents are ranked by the random odds u/(1-u) divided by the
-inclusion odds p/(1-p), and the lowest ranks are taken until the source's remaining words are used
-up: a sample of fixed size, counted in words, with unequal probabilities.
+inclusion odds p/(1-p), and the lowest ranks are taken as long as they fit into the source's
+remaining words; the rest is closed by the one later document whose size is nearest to it. That is
+a sample of fixed size, counted in words, with unequal probabilities.
 
 Within a source the expected copies fall with the document's size class (a power of two words)
 like 2**(-damping * class), so that very long documents do not crowd out the others, and are
@@ -77,7 +78,7 @@ def odds_rank(doc_id: Column, copies: Column, seed: int) -> Column:
 
 
 def plan(sized: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, damping: float = DAMPING, seed: int = SEED) -> DataFrame:
-    """One row for each source: source_size, target, scale of the expected copies, and the last (odds, doc_id) that is taken.
+    """One row for each source: source_size, target, scale of the expected copies, the last (odds, doc_id) that is taken, and the closing one.
 
     sized: doc_id, source, size.
     """
@@ -99,10 +100,18 @@ def plan(sized: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, max_copies:
     certain = drawn.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain")).withColumnRenamed("source", "certain_source")
     sampled = running_sums(drawn.filter("odds is not null").select("doc_id", "source", "size", "odds"), [F.col("odds"), F.col("doc_id").asc_nulls_last()], "size", "source", "order")
     room = scaled.join(certain, scaled["plan_source"].eqNullSafe(certain["certain_source"])).select(F.col("plan_source").alias("room_source"), (F.col("target") - F.col("certain")).alias("room"))
-    taken = sampled.join(room, sampled["source"].eqNullSafe(room["room_source"])).filter(F.col("before") + F.col("size") / 2 <= F.col("room"))
-    last = taken.groupBy("source").agg(F.max(F.struct("odds", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("last")).withColumnRenamed("source", "last_source")
-    out = written(scaled.join(last, scaled["plan_source"].eqNullSafe(last["last_source"]), "left").drop("last_source"), "plan")
-    for x in (classes, by_source, scaled, sampled):
+    ranked = sampled.join(room, sampled["source"].eqNullSafe(room["room_source"]))
+    fits = F.col("before") + F.col("size") <= F.col("room")
+    mine = F.struct("odds", F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    cut = ranked.groupBy("source").agg(F.max(F.when(fits, mine)).alias("last"), (F.first("room") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap"))
+    cut = written(cut.withColumnRenamed("source", "last_source"), "cut")
+    # What is left is closed by the one later document whose size is nearest, if that is nearer than none.
+    rest = sampled.join(cut, sampled["source"].eqNullSafe(cut["last_source"])).filter(F.col("last").isNull() | (mine > F.col("last")))
+    off = F.abs(F.col("size") - F.col("gap"))
+    closing = rest.filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), mine.alias("mine"))).alias("best")).select(F.col("source").alias("closing_source"), F.col("best.mine").alias("closing"))
+    out = scaled.join(cut, scaled["plan_source"].eqNullSafe(cut["last_source"]), "left")
+    out = written(out.join(closing, out["plan_source"].eqNullSafe(closing["closing_source"]), "left").drop("last_source", "closing_source", "gap"), "plan")
+    for x in (classes, by_source, scaled, sampled, cut):
         forget(x)
     return out
 
@@ -120,7 +129,8 @@ def draw(sized: DataFrame, plans: DataFrame, *, max_copies: float = MAX_COPIES,
     names = [c for c in sized.columns if c not in ("source_size", "target", "n_copies")]
     x = with_copies(sized, plans, max_copies, damping, seed)
     mine = F.struct(F.col("odds"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))
-    more = F.coalesce((F.col("odds").isNotNull() & F.col("last").isNotNull() & (mine <= F.col("last"))).cast("long"), F.lit(0).cast("long"))
+    taken = F.coalesce(mine <= F.col("last"), F.lit(False)) | F.coalesce(mine == F.col("closing"), F.lit(False))
+    more = (F.col("odds").isNotNull() & taken).cast("long")
     copies = F.when(F.col("size") > 0, F.coalesce(F.col("whole"), F.lit(0)) + more).otherwise(0).cast("long")
     return x.select(*[sized[c] for c in names], plans["source_size"].cast("long").alias("source_size"), plans["target"].alias("target"), copies.alias("n_copies"))
 
