@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelake.llm import bpe, mixing, warc
+from passagelake.llm import bpe, mixing, toxicity, warc
 from passagelake.llm.common import read, written
 
 
+#: Score from which a document is called toxic.
+TOXIC = 0.7
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with source weights 5, 2, 1, ... takes of every document."""
     sized = written(mixing.sizes(read(spark, sf_dir, "documents"), ["doc_id", "source"]), "sized")
@@ -18,6 +22,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of documents."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out_flag().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the normalised archives of all pages hold."""
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -33,6 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
+        "op3_toxicity": op3_toxicity,
         "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,
     }
