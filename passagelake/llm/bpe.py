@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 One queue serves all merges of a pre-token. Each merge rank has a bucket: a heap of the positions
-of the pre-token's linked list whose pair has that rank. A bitmap with 64 ranks a word marks the
-buckets that are not empty, a second level marks the words that are not zero, a third the words of
-the second. Three find-first-set steps give the lowest rank, so that a pre-token of n bytes costs
-about n log n, also when it is megabytes long. A merge changes the pairs on both sides; their old
+of the pre-token's linked list whose pair has that rank. A bitmap with 512 ranks a word marks the
+buckets that are not empty, and an upper level marks the words that are not zero. Two
+find-first-set steps give the lowest rank, so that a pre-token of n bytes costs about n log n, also
+when it is megabytes long. A merge changes the pairs on both sides; their old
 entries stay in their buckets and are skipped as stale when they come up.
 
 Results: null texts are encoded like empty ones (no ids). Empty table: empty result. Equal rows
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from itertools import islice
 
 import numpy as np
@@ -25,59 +26,17 @@ from pyspark.sql import types as T
 
 from passagelake.llm.common import arrow_map
 
-#: Pre-tokens whose ids a worker remembers, in bytes of pre-token; on overflow the memory is emptied.
-CACHE_ENTRIES = 200_000
+#: Pre-tokens whose ids a worker remembers (about 200 bytes each), up to that length; on overflow the memory is emptied.
+CACHE_ENTRIES = 1_000_000
 CACHE_PIECE = 64
+#: Bits of a rank that one level of the bitmap resolves.
+WORD = 9
+MASK = (1 << WORD) - 1
 #: Pre-tokens held at once of a long text, and the length from which a text is taken in such pieces.
 CHUNK = 50_000
 LONG = 1 << 20
 
 
-class RankQueue:
-    """The lowest (rank, position) first; ranks below 64**3."""
-
-    __slots__ = ("buckets", "low", "mid", "top")
-
-    def __init__(self, ranks: int):
-        if ranks > 64**3:
-            raise ValueError("at most 262144 ranks")
-        self.low, self.mid, self.top = [0] * ((ranks >> 6) + 1), [0] * ((ranks >> 12) + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int] | None:
-        """Find-first-set on each level, then the leftmost position of that rank."""
-        top = self.top
-        if not top:
-            return None
-        a = (top & -top).bit_length() - 1
-        bits = self.mid[a]
-        word = (a << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.low[word] = bits
-            if not bits:
-                self.mid[a] &= ~(1 << (word & 63))
-                if not self.mid[a]:
-                    self.top &= ~(1 << a)
-        return rank, position
-
-
 class ByteBPE:
     """Encoder and decoder for a rank table; encodes as the tiktoken library does without special tokens."""
 
@@ -89,41 +48,76 @@ class ByteBPE:
         self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.vocab[rank] = piece
-        self.queue = RankQueue(len(self.vocab))
+        if len(self.vocab) > 1 << (2 * WORD):
+            raise ValueError(f"at most {1 << (2 * WORD)} ranks")
+        self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.low = [0] * (1 << WORD)  # empty between two pre-tokens
         self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        The queue is written out in place, as calls would cost more than its steps: `buckets` has
+        of each rank the position of its pair, or a heap of positions; bit r % 2**WORD of
+        low[r >> WORD] says whether bucket r is there, bit w of top whether low[w] is not zero.
+        """
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
+        get, low, top = ranks.get, self.low, 0
+        buckets: dict[int, int | list[int]] = {}
+        token = [self.byte[b] for b in piece]
         after = list(range(1, n + 2))  # start of the next part; n is the end
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # rank of a part with the next one; -1: none, or the part is gone
-        queue = self.queue
-        get, push, pop = ranks.get, queue.push, queue.pop
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                push(r, i)
-        while (first := pop()) is not None:
-            rank, i = first
+        new = [(i, r) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        for i, r in new:
+            pair[i] = r
+        while True:
+            for i, r in new:
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = i
+                    w = r >> WORD
+                    low[w] |= 1 << (r & MASK)
+                    top |= 1 << w
+                elif type(bucket) is int:
+                    buckets[r] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heapq.heappush(bucket, i)
+            if not top:
+                break
+            # Find-first-set on both levels: the lowest rank; of its positions the leftmost.
+            w = (top & -top).bit_length() - 1
+            bits = low[w]
+            first = bits & -bits
+            rank = (w << WORD) + first.bit_length() - 1
+            bucket = buckets[rank]
+            if type(bucket) is int:
+                i = bucket
+                del buckets[rank]
+                bits ^= first
+                low[w] = bits
+                if not bits:
+                    top &= top - 1
+            else:
+                i = heapq.heappop(bucket)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
+            new = []
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
             k = after[j]
+            token[i] = rank
             after[i] = k
             before[k] = i
-            pair[j] = -1
-            pair[i] = -1
-            if k < n:
-                r = get(piece[i : after[k]])
-                if r is not None:
-                    pair[i] = r
-                    push(r, i)
+            pair[j] = pair[i] = -1
+            if k < n and (r := get(piece[i : after[k]])) is not None:
+                pair[i] = r
+                new.append((i, r))
             h = before[i]
             if h >= 0:
                 r = get(piece[h:k])
@@ -131,17 +125,20 @@ class ByteBPE:
                     pair[h] = -1
                 elif pair[h] != r:
                     pair[h] = r
-                    push(r, h)
+                    new.append((h, r))
         out, i = [], 0
         while i < n:
-            k = after[i]
-            out.append(ranks[piece[i:k]])
-            i = k
+            out.append(token[i])
+            i = after[i]
         return out
 
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def packed(self, piece: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
-        out = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        out = self.pack(self.merge(piece.encode()))
         if len(piece) <= CACHE_PIECE:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()

@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagelake.session import ship
+
 #: Rows and bytes of one Arrow batch: texts are long, so batches stay small.
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings that all operators rely on: bounded Arrow batches."""
+    """Session settings that all operators rely on: bounded Arrow batches, and workers that find this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark

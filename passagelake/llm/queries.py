@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelake.llm import bpe, mixing, toxicity, warc
+from passagelake.llm import bpe, langid, mixing, quality, toxicity, warc
 from passagelake.llm.common import read, written
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    out = quality.filtered(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.array_join("outside", ",").alias("outside"))
+
+
 #: Score from which a document is called toxic.
 TOXIC = 0.7
 
@@ -30,6 +36,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out_flag().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of documents."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fitted(docs), ["doc_id"])
+    return found.select("doc_id", toxicity.held_out_flag(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the normalised archives of all pages hold."""
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -44,8 +57,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_mix_sources": op2_mix_sources,
         "op3_toxicity": op3_toxicity,
+        "op4_language": op4_language,
         "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,
     }
