@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelake.llm import bpe, langid, mixing, quality, toxicity, warc
+from passagelake.llm import bpe, embeddings, langid, mixing, quality, simhash, toxicity, warc
 from passagelake.llm.common import read, written
 
 
@@ -43,6 +43,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out_flag(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every vector of embeddings."""
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the normalised archives of all pages hold."""
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -61,6 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_toxicity": op3_toxicity,
         "op4_language": op4_language,
+        "op5_simhash": op5_simhash,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,
     }
