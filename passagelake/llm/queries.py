@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelake.llm import bpe, embeddings, langid, mixing, quality, simhash, toxicity, warc
+from passagelake.llm import bpe, embeddings, langid, linededup, mixing, quality, simhash, toxicity, warc
 from passagelake.llm.common import read, written
 
 
@@ -48,6 +48,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated line runs."""
+    out = linededup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", "deleted_words", "deleted_spans", "text")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every vector of embeddings."""
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_language": op4_language,
         "op5_simhash": op5_simhash,
+        "op6_line_dedup": op6_line_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,

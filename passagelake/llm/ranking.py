@@ -75,9 +75,13 @@ def running_sums(df: DataFrame, order: list[Column], value: str, group: str | No
     return out
 
 
-def dense_rank(df: DataFrame, keys: list[str], what: str = "rank") -> DataFrame:
-    """Distinct keys of df with `rank`: 0-based place in ascending order (nulls last), found without a single task."""
-    distinct = df.select(*keys).distinct().withColumn("one", F.lit(1).cast("long"))
+def dense_rank(df: DataFrame, keys: list[str], what: str = "rank", distinct: bool = False) -> DataFrame:
+    """Distinct keys of df with `rank`: 0-based place in ascending order (nulls last), found without a single task.
+
+    distinct: the keys are known to be distinct.
+    """
+    found = df.select(*keys)
+    distinct = (found if distinct else found.distinct()).withColumn("one", F.lit(1).cast("long"))
     return running_sums(distinct, [F.col(k).asc_nulls_last() for k in keys], "one", None, what).drop("one").withColumnRenamed("before", "rank")
 
 

@@ -287,7 +287,8 @@ def label_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) ->
     open_ = F.col("doc_id").isNotNull() & (fold_of(folds) != held_out)
     known = labels.filter(F.col("toxic").isNotNull() & open_).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select("doc_id", "text").filter(open_)
-    return texts.join(known, texts["doc_id"] == known["label_id"]).select("doc_id", "text", "toxic")
+    # A merge join at any size: a broadcast of the labels would grow with them.
+    return texts.join(known.hint("merge"), texts["doc_id"] == known["label_id"]).select("doc_id", "text", "toxic")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Model | None:
