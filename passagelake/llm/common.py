@@ -7,7 +7,6 @@ executors), so a lost executor costs only the re-run of its tasks.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -133,21 +132,14 @@ def count_words(column: pa.Array) -> np.ndarray:
     return per_text(word_starts(data, offsets), offsets)
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+def arrow_column(fn: Callable[[pa.Array], pa.Array], kind: str) -> Callable:
+    """A column function from an Arrow function of one column; the row's other columns stay in the JVM."""
 
+    def run(x: pa.Array) -> pa.Array:
+        return fn(x)
 
-def ensure_parent(path: str) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return F.arrow_udf(run, kind)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def null_safe(left: DataFrame, right: DataFrame, *names: str):
-    """Equality of the named columns that also matches null with null."""
-    on = F.lit(True)
-    for i, n in enumerate(names):
-        on = left[n].eqNullSafe(right[n]) if i == 0 else on & left[n].eqNullSafe(right[n])
-    return on

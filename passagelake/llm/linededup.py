@@ -198,6 +198,3 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = {c: F.col("rest").getField(c).alias(c) for c in kept}
     order = [F.col("new_text").alias("text") if c == "text" else named[c] for c in docs.columns if c not in extra]
     return done.select(*order, *[F.col(f"new_{c}").alias(c) for c in extra])
-
-
-__all__ = ["cut", "decisions", "deduplicated", "keyed"]

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagelake.llm.common import arrow_map, count_words, forget, null_safe, written
+from passagelake.llm.common import arrow_column, arrow_map, count_words, forget, written
 from passagelake.llm.ranking import dense_rank, running_sums
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -137,17 +137,10 @@ def draw(sized: DataFrame, plans: DataFrame, *, max_copies: float = MAX_COPIES,
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Documents as the mix takes them: a row for each copy, with the columns of docs."""
-    keep = docs.columns
-    sized = sizes(docs, ["doc_id", "source"])
-    narrow = written(sized, "sized")
+    narrow = written(sizes(docs, ["doc_id", "source"]), "sized")
     plans = plan(narrow, **options)
     forget(narrow)
-    scalars = {k: v for k, v in options.items() if k != "weights"}
-    inner = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(keep)], *[docs[c] for c in ("doc_id", "source")])
-    names = [f"d{i}" for i in range(len(keep))]
-    full = arrow_map(inner, inner.columns, [f"d{keep.index('text')}"], lambda x: {"size": pa.array(count_words(next(iter(x.values()))))}, [T.StructField("size", T.LongType())])
-    drawn = draw(full, plans, **scalars).filter("n_copies > 0")
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)])
-
-
-__all__ = ["draw", "mix", "null_safe", "plan", "sizes", "targets"]
+    size = arrow_column(lambda t: pa.array(count_words(t)), "long")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size("text").alias("size"))
+    drawn = draw(whole, plans, **{k: v for k, v in options.items() if k != "weights"}).filter("n_copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select("row.*")

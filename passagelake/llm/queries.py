@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,6 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.array_join("outside", ",").alias("outside"))
 
 
-#: Score from which a document is called toxic.
-TOXIC = 0.7
-
-
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with source weights 5, 2, 1, ... takes of every document."""
     sized = written(mixing.sizes(read(spark, sf_dir, "documents"), ["doc_id", "source"]), "sized")
@@ -33,7 +30,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", toxicity.held_out_flag().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out_flag().alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_embedding_dedup": op7_embedding_dedup,
         "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagelake.llm.common import forget, null_safe, written
+from passagelake.llm.common import written
 
 
 def running_sums(df: DataFrame, order: list[Column], value: str, group: str | None = None, what: str = "sums") -> DataFrame:
@@ -83,6 +83,3 @@ def dense_rank(df: DataFrame, keys: list[str], what: str = "rank", distinct: boo
     found = df.select(*keys)
     distinct = (found if distinct else found.distinct()).withColumn("one", F.lit(1).cast("long"))
     return running_sums(distinct, [F.col(k).asc_nulls_last() for k in keys], "one", None, what).drop("one").withColumnRenamed("before", "rank")
-
-
-__all__ = ["dense_rank", "forget", "null_safe", "running_sums"]

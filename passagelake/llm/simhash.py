@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagelake.llm.cells import cells, deal, spanning
-from passagelake.llm.common import arrow_map, forget, written
+from passagelake.llm.common import arrow_map, written
 from passagelake.llm.components import connected
 
 SHINGLE = 4
@@ -154,14 +154,27 @@ def links(fps: DataFrame, n_segments: int = SEGMENTS, max_bits: int = MAX_BITS,
 
 
 def grouped(prints: DataFrame, **options) -> DataFrame:
-    """prints (doc_id, fp) with component_id; prints should be a written table, as it is read more than once."""
+    """prints (doc_id, fp) with component_id, and component, the least fingerprint of the group.
+
+    prints should be a written table, as it is read more than once.
+    """
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = connected(links(classes.select("fp"), **options))
     label = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     label = written(label, "labels")
     least = label.groupBy(F.col("component").alias("group")).agg(F.min("first_id").alias("component_id"))
-    of = label.join(least, label["component"] == least["group"]).select(F.col("fp").alias("class_fp"), "component_id")
-    return prints.join(of, prints["fp"] == of["class_fp"]).select(*[prints[c] for c in prints.columns], "component_id")
+    of = label.join(least, label["component"] == least["group"]).select(F.col("fp").alias("class_fp"), "component", "component_id")
+    return prints.join(of, prints["fp"] == of["class_fp"]).select(*[prints[c] for c in prints.columns], "component", "component_id")
+
+
+def survivors(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group, with all its columns: that with the least doc_id (nulls last), then the least hash of its text."""
+    named = {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "h": F.xxhash64("text")}
+    prints = written(fingerprints(docs.select("doc_id", "text").withColumns(named), ["doc_id", "d", "h"]), "fingerprints")
+    first = grouped(prints, **options).groupBy("component").agg(F.min(F.struct("d", "h")).alias("first")).select(F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in named.items()])
+    kept = whole.join(first, (F.col("d") == F.col("first_d")) & (F.col("h") == F.col("first_h")))
+    return kept.dropDuplicates(["d", "h"]).select("row.*")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -172,6 +185,3 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     prints = written(fingerprints(docs, ["doc_id"]), "fingerprints")
     return grouped(prints, **options).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-__all__ = ["fingerprint", "fingerprints", "forget", "grouped", "links", "near_duplicates"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagelake.llm.common import arrow_map, forget, text_buffer, written
+from passagelake.llm.common import arrow_column, arrow_map, forget, text_buffer, written
 
 PREFIX = 9
 BITS = 6
@@ -41,6 +41,8 @@ END = 1
 DISCOUNT = 0.75
 PRIOR = 6.0
 MARGIN = 2.0
+#: Score from which a document is called toxic.
+TOXIC = 0.7
 PASSAGE = 300
 #: Texts with fewer words count as if they had so many.
 LEAST_WORDS = 10
@@ -308,3 +310,12 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         return {"score": pa.array(np.zeros(len(x["text"])) if m is None else m.score(m.evidence(x["text"])))}
 
     return arrow_map(docs, keep, ["text"], run, [T.StructField("score", T.DoubleType())])
+
+
+def kept(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
+    """The documents whose score is below limit, with all their columns."""
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    scored = arrow_column(lambda t: pa.array(held.value.score(held.value.evidence(t))), "double")
+    return docs.filter(scored("text") < limit)
