@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelake.llm import bpe, embeddings, langid, linededup, mixing, quality, simhash, toxicity, warc
+from passagelake.llm import bpe, embeddings, htmltext, langid, linededup, mixing, quality, simhash, toxicity, warc
 from passagelake.llm.common import read, written
 
 
@@ -56,6 +56,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the normalised archives of all pages hold."""
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_line_dedup": op6_line_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_html_text": op8_html_text,
         "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,
         "pipeline": corpus_pipeline.run,
