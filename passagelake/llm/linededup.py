@@ -185,7 +185,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", *extra)]
     spans = decisions(docs, min_words).withColumnsRenamed({"d": "span_d", "h": "span_h"})
     inner = keyed(docs.select("doc_id", "text", F.struct(*kept).alias("rest")))
-    x = inner.join(spans, (F.col("d") == F.col("span_d")) & (F.col("h") == F.col("span_h")), "left").select("rest", "text", "spans")
+    # A merge join at any size: how many documents lose lines grows with the documents.
+    x = inner.join(spans.hint("merge"), (F.col("d") == F.col("span_d")) & (F.col("h") == F.col("span_h")), "left").select("rest", "text", "spans")
 
     def run(c: dict[str, pa.Array]) -> dict[str, pa.Array]:
         rows = [(t, 0, 0, 0, []) if t is None else cut(t, s and [(y["start"], y["end"]) for y in s]) for t, s in zip(c["text"].to_pylist(), c["spans"].to_pylist(), strict=True)]
