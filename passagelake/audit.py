@@ -26,7 +26,7 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other."""
     b = b.select(*a.columns)
     counted = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
-    return counted.groupBy(*a.columns).agg(F.sum("_n").alias("n")).filter("n <> 0")
+    return counted.groupBy(*a.columns).agg(F.sum("_n").alias("surplus")).filter("surplus <> 0")
 
 
 def checksum(df: DataFrame) -> DataFrame:

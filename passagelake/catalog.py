@@ -557,7 +557,7 @@ def set_equality(spark, sf_dir):
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
-@query("SELECT doc_id, source, CAST(1 AS BIGINT) AS n FROM documents WHERE doc_id % 60 = 7")
+@query("SELECT doc_id, source, CAST(1 AS BIGINT) AS surplus FROM documents WHERE doc_id % 60 = 7")
 def table_equality(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return audit.same_rows(d, d.filter("doc_id % 60 <> 7"))

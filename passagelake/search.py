@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagelake.config import clamp_count
@@ -99,9 +100,12 @@ def search(ready: Ready, questions: list[str], embedder: Embedder, count: int |
     if not questions:
         raise LakeError("USAGE")
     count = clamp_count(count)
-    meaning = shaped(meaning_list(ready, questions, count, embedder), ready).withColumn("score", numbers.half_up(F.col("score"), 3))
+    first = meaning_list(ready, questions, count, embedder)
+    first = first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "key")))  # at most most_count rows
+    meaning = shaped(first, ready).withColumn("score", numbers.half_up(F.col("score"), 3))
     if exact_words:
         hits = P.not_already_shown(exact_list(ready, questions), meaning, ["key", "n"], [F.col("place"), F.col("score").desc(), F.col("wording")])
+        hits = hits.withColumn("rank", F.row_number().over(W.orderBy("place", F.desc("score"), "wording")))  # at most three rows
         exact = shaped(hits, ready).withColumn("score", numbers.half_up(F.col("score"), 2))
     else:
         exact = shaped(ready.passages.select("key", "n").limit(0), ready)
