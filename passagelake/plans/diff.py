@@ -70,7 +70,7 @@ def deep(states: DataFrame, hashes: DataFrame) -> DataFrame:
         .when((F.col("m_sha256") == F.col("sha256")) & (F.col("m_folder_in_prefix") == F.col("folder_in_prefix")), F.lit("touched"))
         .otherwise(F.lit("updated"))
     )
-    return x.withColumn("action", action).drop("h_key", "state")
+    return x.withColumn("action", action).drop("h_key", "state")  # keeps problem: a note that waits for its download keeps its passages
 
 
 def under(key: Column, folder: Column) -> Column:

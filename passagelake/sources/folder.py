@@ -14,6 +14,7 @@ import re
 import stat
 import unicodedata
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -145,7 +146,27 @@ def tables(spark: SparkSession, found: Walk) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(found.notes, schema.NOTE_FILES), spark.createDataFrame(found.left_out, schema.LEFT_OUT)
 
 
-def read_notes(notes: DataFrame) -> DataFrame:
+#: Seconds after which a read is given up: the note is still in the cloud.
+READ_TIMEOUT = 10.0
+#: So many notes that time out stop a sync.
+MOST_TIMEOUTS = 3
+
+
+def read_bytes(path: str, timeout: float = READ_TIMEOUT, read: Callable[[str], bytes] | None = None) -> bytes:
+    """A file's bytes; TimeoutError if they do not come in time."""
+
+    def plain(p: str) -> bytes:
+        with open(p, "rb") as f:
+            return f.read()
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(read or plain, path).result(timeout)
+    finally:
+        pool.shutdown(wait=False)
+
+
+def read_notes(notes: DataFrame, timeout: float = READ_TIMEOUT) -> DataFrame:
     """(key, content, sha256, problem): the bytes of each note; what cannot be read is told, not thrown.
 
     The note must be the same size before and after, or it is read once more.
@@ -155,9 +176,10 @@ def read_notes(notes: DataFrame) -> DataFrame:
         for _ in range(2):
             try:
                 before = os.stat(path)
-                with open(path, "rb") as f:
-                    content = f.read()
+                content = read_bytes(path, timeout)
                 after = os.stat(path)
+            except TimeoutError:
+                return None, None, "not-downloaded"
             except FileNotFoundError:
                 return None, None, "missing"
             except OSError:

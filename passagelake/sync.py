@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagelake import audit, config, schema
-from passagelake.embedding import Embedder, HashingEmbedder
+from passagelake.embedding import Embedder, HashingEmbedder, embedded
+from passagelake.errors import LakeError
 from passagelake.functions import screen
 from passagelake.operators.notes import chunked, left_out_reason
 from passagelake.operators.postings import doc_lengths, postings, with_tokens
@@ -68,6 +69,8 @@ def sync(spark: SparkSession, root: str, base: str, c: config.Config = config.Co
         settled = diff.deep(states, read.select("key", "sha256", "problem")).persist()
         made = chunked(read.join(settled.filter(F.col("action").isin("added", "updated")).select("key"), "key", "left_semi"), settings_of(c)).persist()
         out = left_out_reason(made).persist()
+        if settled.filter("problem = 'not-downloaded'").count() >= folder.MOST_TIMEOUTS:
+            raise LakeError("SOURCE_DOWNLOADING")
         n = {r["action"]: r["n"] for r in settled.groupBy("action").agg(F.count("*").alias("n")).collect()}
         gone = settled.filter("action = 'gone'")
         hidden = {k for k, reason, *_ in found.left_out if reason == "not-downloaded"}
@@ -86,8 +89,6 @@ def sync(spark: SparkSession, root: str, base: str, c: config.Config = config.Co
         texts = made.join(out, "key", "left_anti").select("key", "title", F.explode("passages").alias("p")).select("key", "title", "p.*").withColumn("flags", screen.flags(F.col("text"))).select(*[x.split(" ")[0] for x in schema.PASSAGES.split(", ")])
         stale = left.select("key").unionByName(made.select("key"))
         keep = lambda t: store.read(t).join(stale, "key", "left_anti") if not fresh else spark.createDataFrame([], STORE_SCHEMA[t])
-        from passagelake.embedding import embedded
-
         terms = with_tokens(texts, ["title", "text"], "trail")
         passages = keep("passages").unionByName(texts)
         per_note = texts.groupBy("key").agg(F.count("*").cast("int").alias("passages"), F.count_if(F.size("flags") > 0).cast("int").alias("flagged"))
@@ -118,8 +119,6 @@ STORE_SCHEMA = {"passages": schema.PASSAGES, "vectors": schema.VECTORS, "posting
 
 def ready(spark: SparkSession, base: str, vault: str | None = None) -> Ready:
     """The current snapshot, for search()."""
-    from passagelake.errors import LakeError
-
     store = Store(spark, base)
     if store.current() is None:
         raise LakeError("NOT_SYNCED")
@@ -135,8 +134,6 @@ def status(spark: SparkSession, root: str, base: str, c: config.Config = config.
 
 def verify(spark: SparkSession, base: str, embedder: Embedder, samples: int = 50) -> DataFrame:
     """The four deep checks; a sample of passages is embedded again."""
-    from passagelake.embedding import embedded
-
     store = Store(spark, base)
     passages = store.read("passages")
     fresh = embedded(passages.orderBy(F.xxhash64("key", "n")).limit(samples), embedder)
@@ -145,8 +142,6 @@ def verify(spark: SparkSession, base: str, embedder: Embedder, samples: int = 50
 
 def rebuild(spark: SparkSession, base: str, embedder: Embedder) -> str:
     """Make the derived tables anew from the saved passages."""
-    from passagelake.embedding import embedded
-
     store = Store(spark, base)
     passages = store.read("passages")
     terms = with_tokens(passages, ["title", "text"], "trail")
