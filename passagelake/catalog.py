@@ -89,10 +89,8 @@ def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked(spark: SparkSession, sf_dir: str, wordings: list[str]) -> DataFrame:
     """(wording, doc_id, source, score) of all documents that hold a word of a wording."""
-    t = tokenised(spark, sf_dir)
-    words = sorted({w for q in wordings for w in tokens.read_question(q)["words"]})
-    out = P.rank(P.postings_of(t, ["doc_id"], words), P.doc_lengths(t, ["doc_id"]), P.question_terms(spark, wordings), ["doc_id"])
-    return out.withColumn("score", score6("score")).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    t = P.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["text"])
+    return P.rank_rows(t, ["doc_id", "source"], wordings).withColumn("score", score6("score"))
 
 
 @query("""

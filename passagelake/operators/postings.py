@@ -79,6 +79,36 @@ def rank(post: DataFrame, lengths: DataFrame, terms: DataFrame, keys: list[str])
     return out.filter("held = n_required").drop("n_required", "held")
 
 
+def rank_rows(tokenised: DataFrame, keys: list[str], wordings: list[str]) -> DataFrame:
+    """(keys, wording, score): rank() straight from texts, without a table of postings.
+
+    One aggregate over all rows gives the passages, their average length and each word's document
+    frequency; with that one row at hand each passage scores itself. Nothing is shuffled.
+    """
+    asked = [tokens.read_question(q) for q in wordings]
+    words = list(dict.fromkeys(w for q in asked for w in q["words"]))[:MOST_WORDS]
+    if not words:
+        return tokenised.select(*keys, F.lit(0).alias("wording"), F.lit(0.0).alias("score")).limit(0)
+    held = F.filter("terms", lambda t: t.isin(*words))
+    narrow = tokenised.select(*keys, F.least(F.size("terms"), F.lit(MOST_LENGTH)).alias("doc_len"), held.alias("held"))
+    stats = narrow.agg(F.count("*").alias("passages"), F.avg("doc_len").alias("avg_len"), F.array(*[F.count_if(F.array_contains("held", w)) for w in words]).alias("df"))
+    x = narrow.filter(F.size("held") > 0).crossJoin(F.broadcast(stats))
+    same = lambda w: lambda t: t == w
+    tf = {w: F.least(F.size(F.filter("held", same(w))), F.lit(MOST_TF)) for w in words}
+    x = x.withColumns({f"_s{i}": F.when(F.array_contains("held", w), numbers.term_score(numbers.idf(F.col("passages"), F.col("df")[i]), tf[w], F.col("doc_len"), F.col("avg_len"))).otherwise(0.0) for i, w in enumerate(words)})
+    scores = []
+    for i, q in enumerate(asked):
+        mine = [w for w in q["words"] if w in words]
+        needed = [w for p in q["phrases"] for w in p if w in mine]
+        ok = F.arrays_overlap("held", F.lit(mine)) if mine else F.lit(False)
+        for w in needed:
+            ok = ok & F.array_contains("held", w)
+        total = sum((F.col(f"_s{words.index(w)}") for w in mine), F.lit(0.0))
+        scores.append(F.when(ok, F.struct(F.lit(i).alias("wording"), total.alias("score"))))
+    found = x.select(*keys, F.explode(F.filter(F.array(*scores), lambda s: s.isNotNull())).alias("r"))
+    return found.select(*keys, "r.wording", "r.score")
+
+
 def best_of_note(ranked: DataFrame, note: str, order: list[Column], per: list[str] | None = None) -> DataFrame:
     """The best row of each note (and wording): strictly better replaces, so ties go to the order's later columns."""
     by = W.partitionBy(*(per or []), note).orderBy(*order)

@@ -62,7 +62,10 @@ def test_words_table(words):
 @pytest.mark.parametrize(("question", "want"), [("tomatoes frost", [0, 1, 2]), ('"tomatoes" "frost"', [0]), ("beans", [2, 4]), ("zebra", [])])
 def test_ranking(spark, words, question, want):
     got = P.rank(P.postings(words, ["n"]), P.doc_lengths(words, ["n"]), P.question_terms(spark, [question]), ["n"])
-    assert [r["n"] for r in got.orderBy(F.desc("score"), "n").collect()] == want
+    got = got.orderBy(F.desc("score"), "n").collect()
+    assert [r["n"] for r in got] == want
+    rows = P.rank_rows(words, ["n"], [question]).orderBy(F.desc("score"), "n").collect()
+    assert [(r["n"], round(r["score"], 9)) for r in rows] == [(r["n"], round(r["score"], 9)) for r in got]
 
 
 def test_term_score(spark):
