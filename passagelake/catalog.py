@@ -629,3 +629,68 @@ def hybrid_search(spark, sf_dir):
     found = S.search(ready, [QUESTION], e, 5)
     both = found.meaning.select(F.lit("meaning").alias("list"), "key", "n", "score", "snippet", "link")
     return both.unionByName(found.exact.select(F.lit("exact").alias("list"), "key", "n", "score", "snippet", "link"))
+
+
+@query("SELECT doc_id, abs(20000 - doc_id * 37) < 2000 AS racy FROM documents")
+def racy_notes(spark, sf_dir):
+    """Notes that changed too near to now to trust their date."""
+    return table(spark, sf_dir, "documents").select("doc_id", diff.racy(F.lit(20000), F.col("doc_id") * 37).alias("racy"))
+
+
+@query("""WITH n AS (SELECT source, count(*) AS passages FROM documents GROUP BY source), r AS (SELECT source, sum(passages) OVER (ORDER BY source) - passages AS first, sum(passages) OVER (ORDER BY source) AS next FROM n),
+p AS (SELECT i * 37 AS place FROM range(0, 20) t(i)) SELECT place, source, CAST(place - first AS BIGINT) AS n FROM p JOIN r ON place >= first AND place < next""")
+def position_to_note(spark, sf_dir):
+    """Positions in the concatenation of all notes to the note and the passage in it: a range join."""
+    n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("passages"))
+    r = ordered.running_total(n, [F.col("source")], "passages", "first")
+    p = spark.range(20).select((F.col("id") * 37).alias("place"))
+    return r.join(F.broadcast(p), (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("passages"))).select("place", "source", (F.col("place") - F.col("first")).alias("n"))
+
+
+@query(f"WITH {BASE_SQL} SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM t ORDER BY len(toks) DESC, doc_id LIMIT 200")
+def densest_sample(spark, sf_dir):
+    """The two hundred passages with the most tokens."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(tokens.tokenise(F.col("text"))).cast("long").alias("n_tokens"))
+    return d.orderBy(F.desc("n_tokens"), "doc_id").limit(200)
+
+
+@query(f"""WITH {BASE_SQL} SELECT (SELECT count(*) FROM documents WHERE doc_id % 40 <> 3 AND doc_id NOT IN (SELECT doc_id FROM l WHERE doc_id % 50 <> 4)) AS missing,
+(SELECT count(*) FROM l WHERE doc_id % 50 <> 4 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 40 <> 3)) AS over""")
+def words_table_check(spark, sf_dir):
+    """Notes that the words table lacks, and notes it has over."""
+    notes = table(spark, sf_dir, "documents").filter("doc_id % 40 <> 3").select("doc_id")
+    lengths = P.doc_lengths(tokenised(spark, sf_dir), ["doc_id"]).filter("doc_id % 50 <> 4").select("doc_id")
+    return notes.join(lengths, "doc_id", "left_anti").agg(F.count("*").alias("missing")).crossJoin(lengths.join(notes, "doc_id", "left_anti").agg(F.count("*").alias("over")))
+
+
+@query("""WITH k AS (SELECT doc_id, concat(lang, '/', source, CASE WHEN doc_id % 3 = 0 THEN '.MD' ELSE '/Doc.md' END) AS key FROM documents)
+SELECT doc_id, regexp_replace(split_part(key, '/', -1), '(?i)\\.md$', '') AS title, split_part(key, '/', -2) AS folder, concat(regexp_replace(split_part(key, '/', -1), '[^A-Za-z0-9._-]+', '-', 'g'), '-', left(sha256(key), 8)) AS index_name FROM k""")
+def path_parts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    key = F.concat("lang", F.lit("/"), "source", F.when(F.col("doc_id") % 3 == 0, F.lit(".MD")).otherwise(F.lit("/Doc.md")))
+    return d.select("doc_id", links.title_of(key).alias("title"), links.folder_of(key).alias("folder"), links.index_name(key).alias("index_name"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([source, lang, concat('a/', lang), upper(source)], lambda a: lower(a) <> source AND NOT contains(a, '/')), ',') AS aliases FROM documents""")
+def alias_filter(spark, sf_dir):
+    """Aliases that are not the title in another case, and hold no slash."""
+    given = F.array("source", "lang", F.concat(F.lit("a/"), "lang"), F.upper("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(given, lambda a: (F.lower(a) != F.lower("source")) & ~F.contains(a, F.lit("/"))), ",").alias("aliases"))
+
+
+@query(f"""WITH {LINES_SQL}, w AS (SELECT doc_id, pos, CAST(len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM lines)
+SELECT doc_id, count(*) AS sections, CAST(sum(words) AS BIGINT) AS words FROM w WHERE words >= 3 GROUP BY doc_id""")
+def min_words_filter(spark, sf_dir):
+    """Lines as sections: those under three words are left out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    w = d.select("doc_id", links.count_words(F.col("line")).cast("long").alias("words")).filter("words >= 3")
+    return w.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum("words").alias("words"))
+
+
+@query("""WITH s AS (SELECT *, date_trunc('hour', ts) AS batch FROM events), c AS (SELECT batch, count(*) AS n FROM s GROUP BY batch)
+SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS batches, CAST(max(n) AS BIGINT) AS largest, greatest(8, least(128, CAST(floor(max(n) / 3600.0 * 5 + 0.5) AS BIGINT))) AS request_size FROM c""")
+def batch_sizes(spark, sf_dir):
+    """Events by the hour as batches, and the size of request that the busiest hour's rate asks for."""
+    c = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("batch")).agg(F.count("*").alias("n"))
+    size = F.greatest(F.lit(8).cast("long"), F.least(F.lit(128).cast("long"), F.floor(F.max("n") / 3600.0 * 5 + 0.5)))
+    return c.agg(F.sum("n").alias("events"), F.count("*").alias("batches"), F.max("n").alias("largest"), size.alias("request_size"))

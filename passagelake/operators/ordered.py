@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from passagelake.session import checkpointed
+
 
 def running_total(df: DataFrame, order: list[Column], value: str, name: str = "before") -> DataFrame:
     """df with the sum of value over all rows that come earlier in a global order.
@@ -13,7 +15,7 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str = "b
     Rows are dealt out by range, each range is summed on its own, and the sums of the earlier ranges
     (one row for each range) are added: no window over the whole table in one task.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     within = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     earlier = F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
