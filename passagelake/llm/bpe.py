@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from passagelake.llm.common import arrow_map
 
-#: Pre-tokens whose ids a worker remembers (about 200 bytes each), up to that length; on overflow the memory is emptied.
-CACHE_ENTRIES = 1_000_000
+#: Pre-tokens whose ids a worker remembers (about 200 bytes each), up to that length, in each of two
+#: generations: when the new one is full it becomes the old one, and what is met again moves on.
+CACHE_ENTRIES = 250_000
 CACHE_PIECE = 64
 #: Bits of a rank that one level of the bitmap resolves.
 WORD = 9
@@ -53,6 +54,7 @@ class ByteBPE:
         self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.low = [0] * (1 << WORD)  # empty between two pre-tokens
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token.
@@ -138,21 +140,27 @@ class ByteBPE:
 
     def packed(self, piece: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
-        out = self.pack(self.merge(piece.encode()))
+        out = self.old.get(piece) or self.pack(self.merge(piece.encode()))
         if len(piece) <= CACHE_PIECE:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
             self.cache[piece] = out
         return out
 
+    def turn(self) -> None:
+        """Between texts: a full generation becomes the old one."""
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.old, self.cache = self.cache, {}
+
     def encode_packed(self, text: str):
         """Packed ids of a text, in parts of at most CHUNK pre-tokens."""
+        self.turn()
         get, packed = self.cache.get, self.packed
         if len(text) < LONG:
             yield b"".join([get(p) or packed(p) for p in self.pattern.findall(text)])
             return
         pieces = (m.group() for m in self.pattern.finditer(text))
         while part := list(islice(pieces, CHUNK)):
+            self.turn()
+            get = self.cache.get
             yield b"".join([get(p) or packed(p) for p in part])
 
     def encode(self, text: str) -> list[int]:

@@ -21,7 +21,7 @@ from passagelake.session import ship
 
 #: Rows and bytes of one Arrow batch: texts are long, so batches stay small.
 ARROW_ROWS = 1000
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -67,6 +67,11 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """At a task's end: Arrow's free memory goes back, as the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -92,6 +97,7 @@ def arrow_map(df: DataFrame, keep: list[str], inputs: list[str], fn: Callable[[d
             out = fn({c: b.column(a) for c, a in zip(inputs, ins, strict=True)})
             columns = [b.column(a) for a in kept] + [out[n] for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        release()
 
     return picked.mapInArrow(run, schema)
 
