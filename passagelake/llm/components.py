@@ -59,7 +59,8 @@ def contracted(edges: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join gets shuffles of its own, in which a node with very many edges can be split.
+    least = written(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = both.filter("b > a").join(least, both["a"] == least["u"])
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -67,7 +68,7 @@ def large_star(edges: DataFrame) -> DataFrame:
 def small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    least = written(down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
     moved = down.join(least, down["a"] == least["u"]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 

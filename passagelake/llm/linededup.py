@@ -129,7 +129,7 @@ def later_runs(firsts: DataFrame) -> DataFrame:
     for x in found[1:]:
         named = named.unionByName(x)
     place = F.struct("d", "h", "start")
-    first = named.groupBy(F.col("n").alias("n1"), F.col("ra").alias("ra1"), F.col("rb").alias("rb1")).agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    first = written(named.groupBy(F.col("n").alias("n1"), F.col("ra").alias("ra1"), F.col("rb").alias("rb1")).agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "first")
     joined = named.join(first, (F.col("n") == F.col("n1")) & (F.col("ra") == F.col("ra1")) & (F.col("rb") == F.col("rb1")))
     return joined.filter(place > F.col("first")).select("d", "h", "start", "n")
 
@@ -138,8 +138,9 @@ def decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, h, spans) of the documents that lose lines: [start, end) in the sequence of lines with a word; a null end is the last."""
     seen = written(sequences(docs, min_words), "sequences")
     enough = seen.filter(F.col("n_words") >= min_words)
-    same = enough.groupBy("whole").agg(F.min(F.struct("d", "h")).alias("first"), F.count("*").alias("copies"))
-    enough = enough.join(same.withColumnRenamed("whole", "same_whole"), F.col("whole") == F.col("same_whole"))
+    # Written, so that the join gets shuffles of its own, in which a sequence with very many copies can be split.
+    same = written(enough.groupBy(F.col("whole").alias("same_whole")).agg(F.min(F.struct("d", "h")).alias("first")), "same")
+    enough = enough.join(same, F.col("whole") == F.col("same_whole"))
     place = F.struct("d", "h")
     firsts = enough.filter(place == F.col("first")).dropDuplicates(["d", "h"])
     copies = enough.filter(place > F.col("first")).select("d", "h").distinct()
