@@ -89,6 +89,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def op1_sql() -> str:
+    """The counts, and the same sketches, fences and verdicts, in SQL."""
+    import math
+
+    growth = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
+    word = r"[^\x20\x09-\x0D]"
+    ratios = {
+        "word_length": "word_chars / greatest(n_words, 1)",
+        "symbol_ratio": "n_symbols / greatest(n_words, 1)",
+        "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
+        "upper_ratio": "n_upper / greatest(n_letters, 1)",
+        "mark_ratio": "n_marks / greatest(n_words, 1)",
+        "same_ratio": "n_same / greatest(n_words, 1)",
+    }
+    left = lambda kind: f"CAST(length(regexp_replace(joined, '[^{kind}]', '', 'g')) AS BIGINT)"
+    stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS x FROM r WHERE NOT base_failed" for m in quality.METRICS)
+
+    def level(keys: list[str], i: int) -> str:
+        by = ", ".join([*keys, "metric"])
+        at = lambda q: f"min(CASE WHEN upto >= ceil(total * {q}) THEN coalesce(2 * pow({growth!r}, bucket) / ({growth!r} + 1), 0.0) END)"
+        return f"""s{i} AS (SELECT {by}, bucket, sum(n) AS n FROM b GROUP BY {by}, bucket),
+u{i} AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM s{i}),
+q{i} AS (SELECT {by}, max(total) AS total, {at(0.25)} AS q1, {at(0.75)} AS q3 FROM u{i} GROUP BY {by})"""
+
+    used = lambda c: f"CASE WHEN q0.total >= {quality.MIN_GROUP} THEN q0.{c} WHEN q1.total >= {quality.MIN_GROUP} THEN q1.{c} ELSE q2.{c} END"
+    limits = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {f'q1 - {quality.FENCE} * greatest(q3 - q1, {least})' if below else '-1.0'} END) AS {m}_low, max(CASE WHEN metric = '{m}' THEN q3 + {quality.FENCE} * greatest(q3 - q1, {least}) END) AS {m}_high" for m, (least, below) in quality.METRICS.items())
+    outside = ", ".join(f"CASE WHEN {m} < {m}_low OR {m} > {m}_high THEN '{m}' END" for m in quality.METRICS)
+    return f"""WITH w AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '{word}+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM documents
+), j AS (SELECT *, array_to_string(words, '') AS joined FROM w),
+win AS (SELECT id, i, list_slice(words, i, i + 7) AS k FROM (SELECT id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY id),
+c AS (SELECT j.*, CAST(len(words) AS BIGINT) AS n_words, CAST(length(joined) AS BIGINT) AS word_chars, {left('#*$%&|<>')} AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, {left('A-Z')} AS n_upper, {left('A-Za-z')} AS n_letters, {left('!?')} AS n_marks,
+  len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_same FROM j LEFT JOIN rep USING (id)),
+r AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed, {', '.join(f'{x} AS {m}' for m, x in ratios.items())} FROM c),
+m AS ({stacked}), b AS (SELECT lang, source, metric, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / {math.log(growth)!r}) AS INTEGER) END AS bucket, count(*) AS n FROM m GROUP BY ALL),
+{level(['lang', 'source'], 0)}, {level(['lang'], 1)}, {level([], 2)},
+f AS (SELECT q0.lang, q0.source, q0.metric, {used('q1')} AS q1, {used('q3')} AS q3 FROM q0 LEFT JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.metric = q1.metric LEFT JOIN q2 ON q0.metric = q2.metric),
+l AS (SELECT lang, source, {limits} FROM f GROUP BY lang, source),
+o AS (SELECT r.*, array_to_string(list_filter([{outside}], lambda x: x IS NOT NULL), ',') AS outside FROM r LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM o"""
+
+
 OP9_SQL = """
 WITH seen AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
@@ -105,5 +152,6 @@ FROM seen s LEFT JOIN firsts f ON s.payload_digest = f.payload_digest
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": op1_sql(),
         "op9_warc_normaliser": OP9_SQL,
     }
