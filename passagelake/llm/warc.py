@@ -5,8 +5,8 @@ The normaliser inflates such a stream once, from start to end, writes every reco
 of its own, and writes a sidecar index with one line for each record: offset and length of its
 member, its id and its type. A record is copied in pieces, so that memory does not depend on sizes.
 
-Files are written under a name of the task attempt and then renamed, so that a task which runs
-again, after an executor was lost, replaces its file by an equal one.
+File names hold the number of the task attempt, and only the files that a successful attempt returns
+are read, so that a task which runs again, or twice at once, never mixes its files with the others'.
 
 Results: a null payload is an empty one; a null url is recorded as urn:page:<id>. Rows with equal
 page_id and payload are the same record and get the same result. Null page_ids come last: such a
@@ -102,10 +102,6 @@ def head(page_id, url: str | None, kind: str, refers_to, digest: str, size: int)
     return ("\r\n".join([*lines, f"Content-Length: {length}"]) + "\r\n\r\n").encode() + http
 
 
-def _rename(system, temporary: str, final: str) -> None:
-    system.move(temporary, final)
-
-
 def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
     """Write records (page_id, url, html, record_type, refers_to, payload_digest) as monolithic .warc.gz files; returns their paths."""
 
@@ -119,9 +115,8 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
                 payload = html or b""
                 if archive is None:
                     system.create_dir(base, recursive=True)
-                    final = posixpath.join(base, f"part-{task.partitionId():06d}-{len(names):04d}.warc.gz")
-                    temporary = f"{final}.{task.taskAttemptId()}.tmp"
-                    archive, used = Archive(system.open_output_stream(temporary), False), 0
+                    name = posixpath.join(base, f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc.gz")
+                    archive, used = Archive(system.open_output_stream(name, compression=None), False), 0
                 archive.begin()
                 top = head(page, url, kind, refers, digest, len(payload))
                 archive.write(top)
@@ -132,13 +127,11 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
                 used += len(top) + len(payload)
                 if used >= ARCHIVE_BYTES:
                     archive.close()
-                    _rename(system, temporary, final)
-                    names.append(final)
+                    names.append(name)
                     archive = None
         if archive is not None:
             archive.close()
-            _rename(system, temporary, final)
-            names.append(final)
+            names.append(name)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
     picked = records.select("page_id", "url", "html", "record_type", "refers_to", "payload_digest")
@@ -223,13 +216,10 @@ def normalise_files(archives: DataFrame, folder: str) -> DataFrame:
             rows = []
             for name in b.column(0).to_pylist():
                 system.create_dir(base, recursive=True)
-                final = posixpath.join(base, posixpath.basename(name))
-                index = final.removesuffix(".gz") + ".index.jsonl"
-                mark = f".{TaskContext.get().taskAttemptId()}.tmp"
+                stem = posixpath.join(base, f"{posixpath.basename(name).removesuffix('.warc.gz')}-{TaskContext.get().taskAttemptId()}")
+                final, index = f"{stem}.warc.gz", f"{stem}.index.jsonl"
                 with system.open_input_stream(name, compression=None) as source:
-                    n = normalise(source, system.open_output_stream(final + mark, compression=None), system.open_output_stream(index + mark, compression=None))
-                _rename(system, final + mark, final)
-                _rename(system, index + mark, index)
+                    n = normalise(source, system.open_output_stream(final, compression=None), system.open_output_stream(index, compression=None))
                 rows.append((final, index, n))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["archive", "index_file", "n_records"])
 
