@@ -48,7 +48,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later copies of repeated line runs."""
     out = linededup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_deleted", "deleted_words", "deleted_spans", "text")
+    spans = F.array_join(F.transform("deleted_spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.select("doc_id", "n_lines", "n_deleted", "deleted_words", spans.alias("deleted_spans"), "text")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +137,57 @@ o AS (SELECT r.*, array_to_string(list_filter([{outside}], lambda x: x IS NOT NU
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM o"""
 
 
+#: The least runs of 50 words from and up to each line, their first occurrences, and the texts without the later ones.
+OP6_SQL = r"""
+WITH e AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS num FROM documents
+), w AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM e
+), k AS (
+  SELECT doc_id, num, words, trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS line,
+         row_number() OVER d - 1 AS pos, sum(words) OVER d AS upto
+  FROM w WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY num)
+), g AS (
+  SELECT doc_id, list(line ORDER BY pos) AS lines, list(upto ORDER BY pos) AS sums FROM k GROUP BY doc_id
+), runs AS (
+  SELECT k.doc_id, pos AS a, len(list_filter(sums, lambda x: x < upto - words + 50)) + 1 AS b, len(sums) AS n FROM k JOIN g USING (doc_id)
+  UNION
+  SELECT k.doc_id, len(list_filter(sums, lambda x: x <= upto - 50)) - (CASE WHEN upto >= 50 THEN 0 ELSE 1 END) AS a, pos + 1 AS b, len(sums) AS n FROM k JOIN g USING (doc_id)
+), named AS (
+  SELECT doc_id, a, b, md5(array_to_string(list_slice(lines, a + 1, b), chr(10))) AS run FROM runs JOIN g USING (doc_id) WHERE a >= 0 AND b <= n
+), later AS (
+  SELECT doc_id, a, b FROM named QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, a) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b)) AS pos FROM later
+), f AS (
+  SELECT w.*, CASE WHEN w.words > 0 THEN gone.pos IS NOT NULL END AS cut
+  FROM w LEFT JOIN k ON w.doc_id = k.doc_id AND w.num = k.num LEFT JOIN gone ON k.doc_id = gone.doc_id AND k.pos = gone.pos
+), h AS (
+  SELECT *, coalesce(last_value(cut IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY num ROWS UNBOUNDED PRECEDING), false) AS out FROM f
+), spans AS (
+  SELECT doc_id, string_agg(concat(low, '-', high + 1), ',' ORDER BY low) AS spans FROM (
+    SELECT doc_id, min(num) AS low, max(num) AS high FROM (SELECT doc_id, num, num - row_number() OVER (PARTITION BY doc_id ORDER BY num) AS island FROM h WHERE out) GROUP BY doc_id, island
+  ) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) FILTER (WHERE words > 0) AS n_lines, count(*) FILTER (WHERE cut) AS n_deleted, CAST(coalesce(sum(words) FILTER (WHERE cut), 0) AS BIGINT) AS deleted_words,
+         coalesce(string_agg(line, chr(10) ORDER BY num) FILTER (WHERE NOT out), '') AS text FROM h GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_deleted, deleted_words, coalesce(spans, '') AS deleted_spans, text FROM t LEFT JOIN spans USING (doc_id)
+"""
+
+#: All pairs of a label. The operator finds each pair at the threshold with probability 0.99, closer ones more often.
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))) AND list_bool_or(list_transform(embedding, lambda c: c <> 0))
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
 OP9_SQL = """
 WITH seen AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
@@ -153,5 +205,7 @@ FROM seen s LEFT JOIN firsts f ON s.payload_digest = f.payload_digest
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": op1_sql(),
+        "op6_line_dedup": OP6_SQL,
+        "op7_embedding_dedup": OP7_SQL,
         "op9_warc_normaliser": OP9_SQL,
     }
