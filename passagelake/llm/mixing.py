@@ -72,7 +72,8 @@ def relative(kind: Column, damping: float) -> Column:
 
 def odds_rank(doc_id: Column, copies: Column, seed: int) -> Column:
     """Log of (u / (1 - u)) / (p / (1 - p)); null where p is 0, as no further copy can be taken."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11).cast("double") + 0.5) / float(1 << 53)
+    drawn = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     p = copies - F.floor(copies)
     return F.when(p > 0, F.log(u / (1 - u)) - F.log(p / (1 - p)))
 

@@ -137,6 +137,49 @@ o AS (SELECT r.*, array_to_string(list_filter([{outside}], lambda x: x IS NOT NU
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM o"""
 
 
+def op2_sql() -> str:
+    """The same targets, expected copies, ranks, certain copies and closing documents, in SQL."""
+    most, damp = mixing.MAX_COPIES, mixing.DAMPING
+    weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
+    return rf"""WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, sum(size) AS source_size, {most} * sum(size) AS bound, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {weights} END AS weight FROM s GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY bound / weight, source) AS r, sum(source_size) OVER () AS total FROM sources
+), levels AS (
+  SELECT *, (total - coalesce(sum(bound) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS level FROM o
+), goal AS (
+  SELECT source, source_size, least(weight * (SELECT min_by(level, r) FROM levels WHERE level * weight <= bound), bound) AS target FROM sources
+), c AS (
+  SELECT source, CAST(floor(log2(size)) AS INTEGER) AS kind, sum(size) AS class_size FROM s WHERE size > 0 GROUP BY ALL
+), x AS (
+  SELECT c.source, kind, pow(2.0, -{damp} * kind) AS rel, greatest(0.0, target - {most} * coalesce(sum(class_size) OVER (PARTITION BY c.source ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(class_size * pow(2.0, -{damp} * kind)) OVER (PARTITION BY c.source ORDER BY kind DESC ROWS UNBOUNDED PRECEDING) AS scale
+  FROM c JOIN goal ON c.source IS NOT DISTINCT FROM goal.source
+), scales AS (
+  SELECT source, min_by(scale, kind) FILTER (WHERE scale * rel <= {most} * (1 + 1e-12)) AS scale FROM x GROUP BY source
+), d AS (
+  SELECT s.*, source_size, target, least({most}, coalesce(scale, 1e300) * pow(2.0, -{damp} * CASE WHEN size > 0 THEN floor(log2(size)) ELSE -1 END)) AS expected,
+         (CAST(CAST(concat('0x', left(md5(concat('{mixing.SEED}/', coalesce(CAST(doc_id AS VARCHAR), ''))), 13)) AS BIGINT) AS DOUBLE) + 0.5) / {float(1 << 52)} AS u
+  FROM s JOIN goal ON s.source IS NOT DISTINCT FROM goal.source LEFT JOIN scales ON s.source IS NOT DISTINCT FROM scales.source
+), e AS (
+  SELECT *, CASE WHEN abs(expected - round(expected)) < 1e-12 THEN round(expected) ELSE expected END AS copies FROM d
+), f AS (
+  SELECT *, floor(copies) AS whole, CASE WHEN copies - floor(copies) > 0 THEN ln(u / (1 - u)) - ln((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS odds FROM e
+), r AS (
+  SELECT *, target - sum(CASE WHEN size > 0 THEN whole * size ELSE 0 END) OVER (PARTITION BY source) AS room,
+         CASE WHEN odds IS NOT NULL AND size > 0 THEN sum(CASE WHEN odds IS NOT NULL AND size > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) END AS upto FROM f
+), g AS (
+  SELECT *, coalesce(upto <= room, false) AS fits, room - sum(CASE WHEN upto <= room THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM r
+), h AS (
+  SELECT *, NOT fits AND upto IS NOT NULL AND abs(size - gap) < gap AS near FROM g
+), z AS (
+  SELECT *, near AND row_number() OVER (PARTITION BY source ORDER BY near DESC, abs(size - gap), odds, doc_id) = 1 AS closing FROM h
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CASE WHEN size > 0 THEN CAST(size * (whole + CAST(fits AS INTEGER) + CAST(closing AS INTEGER)) AS BIGINT) ELSE 0 END AS taken FROM z"""
+
+
 #: The least runs of 50 words from and up to each line, their first occurrences, and the texts without the later ones.
 OP6_SQL = r"""
 WITH e AS (
@@ -205,6 +248,7 @@ FROM seen s LEFT JOIN firsts f ON s.payload_digest = f.payload_digest
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": op1_sql(),
+        "op2_mix_sources": op2_sql(),
         "op6_line_dedup": OP6_SQL,
         "op7_embedding_dedup": OP7_SQL,
         "op9_warc_normaliser": OP9_SQL,
