@@ -50,6 +50,8 @@ LEAST_WORDS = 10
 CALIBRATE = 5
 #: Bins of the square root of the evidence, up to LIMIT.
 BINS, LIMIT = 1000, 2.5
+#: Documents in which a beginning must occur to tell the classes apart; a rarer one is left to the shared model.
+SEEN = 5
 #: Beginnings whose classes differ by less are not held; of the others the model holds the most frequent, at most HOLD, in SLOTS slots.
 DIFFER = 0.05
 HOLD, SLOTS = 1 << 20, 1 << 22
@@ -277,7 +279,7 @@ def train(labelled: DataFrame) -> Model | None:
     spark = labelled.sparkSession
     part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(CALIBRATE))
     nodes = written(count(labelled.filter(part != 0)), "beginnings")
-    told = most_frequent(written(differences(nodes).filter(F.abs("differ") >= DIFFER), "differences")).toArrow()
+    told = most_frequent(written(differences(nodes).filter((F.abs("differ") >= DIFFER) & (F.col("n") >= SEEN)), "differences")).toArrow()
     forget(nodes)
     if not told.num_rows:
         return None
