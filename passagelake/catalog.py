@@ -21,7 +21,7 @@ from passagelake.operators import ordered
 from passagelake.operators import postings as P
 from passagelake.operators import vectors as V
 from passagelake.plans import diff
-from passagelake.session import ship
+from passagelake.session import checkpointed, ship
 from passagelake.text.chunking import simple_count
 from passagelake.text.packing import Unit, pack
 
@@ -625,7 +625,8 @@ def hybrid_search(spark, sf_dir):
     t = P.with_tokens(passages, ["title", "text"], "trail")
     notes = passages.select("key", F.lit(1).alias("passages"))
     e = HashingEmbedder(64)
-    ready = S.Ready(notes, passages, embedded(passages, e), P.postings(t, ["key", "n"]), P.doc_lengths(t, ["key", "n"]), "Notes")
+    # Written once, as in a snapshot: a search reads them several times.
+    ready = S.Ready(notes, passages, checkpointed(embedded(passages, e)), checkpointed(P.postings(t, ["key", "n"])), checkpointed(P.doc_lengths(t, ["key", "n"])), "Notes")
     found = S.search(ready, [QUESTION], e, 5)
     both = found.meaning.select(F.lit("meaning").alias("list"), "key", "n", "score", "snippet", "link")
     return both.unionByName(found.exact.select(F.lit("exact").alias("list"), "key", "n", "score", "snippet", "link"))

@@ -25,21 +25,52 @@ INSTRUCTION_RULES = {
 MASK = "[hidden: looks like a key]"
 
 
+# A text without any of these strings cannot match the rule, and looking for a string is cheap.
+HINTS = {
+    "private-key-block": ("-----BEGIN ",),
+    "api-key": ("sk-",),
+    "github-token": ("ghp_", "github_pat_"),
+    "aws-access-key-id": ("AKIA",),
+    "slack-token": ("xox",),
+    "json-web-token": ("eyJ",),
+    "ignore-previous-instructions": ("ignore",),
+    "disregard-the-above": ("disregard",),
+}
+
+
+def _hinted(text: Column, rule: str) -> Column:
+    seen = F.lower(text) if rule in INSTRUCTION_RULES else text
+    hints = [F.contains(seen, F.lit(h)) for h in HINTS[rule]]
+    return hints[0] if len(hints) == 1 else hints[0] | hints[1]
+
+
+def matches(text: Column, rule: str) -> Column:
+    return _hinted(text, rule) & text.rlike((SECRET_RULES | INSTRUCTION_RULES)[rule])
+
+
 def rules(text: Column) -> Column:
     """Names of the rules that match, in order."""
-    found = [F.when(text.rlike(p), F.lit(n)) for n, p in (SECRET_RULES | INSTRUCTION_RULES).items()]
-    return F.filter(F.array(*found), lambda n: n.isNotNull())
+    return F.array_compact(F.array(*[F.when(matches(text, n), F.lit(n)) for n in HINTS]))
 
 
 def flags(text: Column) -> Column:
     """Flags that are raised, each once."""
-    secret = F.array_contains(F.transform(rules(text), lambda n: n.isin(*SECRET_RULES)), True)
-    instruction = F.array_contains(F.transform(rules(text), lambda n: n.isin(*INSTRUCTION_RULES)), True)
-    return F.filter(F.array(F.when(secret, F.lit(SECRET)), F.when(instruction, F.lit(INSTRUCTION))), lambda f: f.isNotNull())
+    raised = []
+    for flag, names in ((SECRET, SECRET_RULES), (INSTRUCTION, INSTRUCTION_RULES)):
+        found = None
+        for n in names:
+            found = matches(text, n) if found is None else found | matches(text, n)
+        raised.append(F.when(found, F.lit(flag)))
+    return F.array_compact(F.array(*raised))
 
 
 def mask_secrets(text: Column) -> Column:
-    """Every secret replaced; the rules are applied one after another."""
-    for pattern in SECRET_RULES.values():
-        text = F.regexp_replace(text, pattern, MASK)
-    return text
+    """Every secret replaced; the rules are applied one after another, each to texts with its hint alone."""
+
+    def step(rule: str, pattern: str):
+        return lambda t: F.when(_hinted(t, rule), F.regexp_replace(t, pattern, MASK)).otherwise(t)
+
+    held = F.array(text)  # an array of one, so that each step names the text once
+    for rule, pattern in SECRET_RULES.items():
+        held = F.transform(held, step(rule, pattern))
+    return F.element_at(held, 1)

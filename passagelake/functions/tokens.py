@@ -51,11 +51,22 @@ def hash_token(token: Column) -> Column:
     return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 
+class _Kept(dict):
+    """Code point to itself if it is a letter, digit or mark, else to a space; filled as it is asked."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = c if unicodedata.category(c)[0] in "LNM" else " "
+        return self[point]
+
+
+_KEPT = _Kept()
+
+
 def tokens_of(text: str) -> list[str]:
     """tokenise() on the driver, for a question."""
-    kinds = "LNM"
-    spaced = "".join(c if unicodedata.category(c)[0] in kinds else " " for c in text.lower())
-    return [t for t in spaced.split(" ") if t and len(t.encode("utf-16-le")) // 2 <= MAX_TOKEN]
+    spaced = text.lower().translate(_KEPT)
+    return [t for t in spaced.split(" ") if t and (len(t) <= MAX_TOKEN // 2 or len(t.encode("utf-16-le")) // 2 <= MAX_TOKEN)]
 
 
 def distinctive_of(token: str) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,18 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; only a session without one (as in a local test) gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="passagelake-"))
-    return df.checkpoint()
+    """df written once as Parquet in the shared checkpoint folder, and read from there.
+
+    Only a session without such a folder (as in a local test) gets a temporary one.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="passagelake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/passagelake/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local(cores: int | str = 8, memory: str = "8g", **settings: str) -> SparkSession:
