@@ -28,7 +28,7 @@ from passagelake.llm.common import arrow_map
 
 #: Pre-tokens whose ids a worker remembers (about 200 bytes each), up to that length, in each of two
 #: generations: when the new one is full it becomes the old one, and what is met again moves on.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 CACHE_PIECE = 64
 #: Bits of a rank that one level of the bitmap resolves.
 WORD = 9

@@ -7,6 +7,7 @@ executors), so a lost executor costs only the re-run of its tasks.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,11 @@ from pyspark.sql import types as T
 
 from passagelake.session import ship
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _TRIM = None
+
 #: Rows and bytes of one Arrow batch: texts are long, so batches stay small.
 ARROW_ROWS = 1000
 ARROW_BYTES = 4 << 20
@@ -68,8 +74,10 @@ def forget(df: DataFrame) -> None:
 
 
 def release() -> None:
-    """At a task's end: Arrow's free memory goes back, as the worker stays for other tasks."""
+    """Free memory goes back to the system, as the worker stays for other tasks: Arrow's, and what glibc keeps of numpy's."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def binary(column: pa.Array) -> list[bytes | None]:
@@ -142,7 +150,9 @@ def arrow_column(fn: Callable[[pa.Array], pa.Array], kind: str) -> Callable:
     """A column function from an Arrow function of one column; the row's other columns stay in the JVM."""
 
     def run(x: pa.Array) -> pa.Array:
-        return fn(x)
+        out = fn(x)
+        release()
+        return out
 
     return F.arrow_udf(run, kind)
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagelake.llm.cells import cells, deal, spanning
-from passagelake.llm.common import arrow_map, written
+from passagelake.llm.common import arrow_map, release, written
 from passagelake.llm.components import connected
 
 SHINGLE = 4
@@ -149,6 +149,7 @@ def links(fps: DataFrame, n_segments: int = SEGMENTS, max_bits: int = MAX_BITS,
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        release()
 
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagelake.llm.common import arrow_column, arrow_map, forget, text_buffer, written
+from passagelake.llm.common import arrow_column, arrow_map, forget, release, text_buffer, written
 
 PREFIX = 9
 BITS = 6
@@ -57,7 +57,7 @@ DIFFER = 0.05
 HOLD, SLOTS = 1 << 20, 1 << 22
 #: Bytes of text scanned at once, and beginnings that a task holds before it sums them up.
 SCAN = 1 << 20
-HELD = 3_000_000
+HELD = 1_500_000
 
 
 def _symbols() -> np.ndarray:
@@ -158,6 +158,8 @@ def count(docs: DataFrame) -> DataFrame:
                 k, m = keys[i : i + 100_000], n[i : i + 100_000]
                 toxic = (k & 1).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(np.where(toxic, 0, m)), pa.array(np.where(toxic, m, 0))], names=["key", "ordinary", "toxic"])
+        parts.clear()
+        release()
 
     counted = docs.select("text", F.col("toxic").cast("int")).mapInArrow(run, "key long, ordinary long, toxic long")
     return counted.groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
