@@ -18,6 +18,10 @@ out, since the mix of languages and topics makes it. A text's evidence is the su
 divided by their number; of a text over PASSAGE words, that of its most toxic passage. Evidence
 becomes a score by isotonic regression over labelled documents that the counts have not seen.
 
+The differences are a table that grows with what the labelled documents have; none is dropped for
+its size. Each different word of the texts is looked up in it once, and the words with evidence are
+joined to the places where they stand.
+
 Results: null and empty texts have evidence 0. Equal texts get equal scores. Repeated label rows of
 a document count once, toxic if any is; null labels are none. Without labelled documents of both
 classes every score is 0. An empty table gives an empty result.
@@ -52,9 +56,12 @@ CALIBRATE = 5
 BINS, LIMIT = 1000, 2.5
 #: Documents in which a beginning must occur to tell the classes apart; a rarer one is left to the shared model.
 SEEN = 5
-#: Beginnings whose classes differ by less are not held; of the others the model holds the most frequent, at most HOLD, in SLOTS slots.
+#: Beginnings whose classes differ by less count as equal; all others are held, in a table.
 DIFFER = 0.05
-HOLD, SLOTS = 1 << 20, 1 << 22
+#: Parts of a nat in which differences and evidence are whole numbers, so that sums don't depend on their order.
+UNIT = 1 << 32
+#: Bits of the map of telling words; it is of fixed size and only spares the join words that have no evidence.
+MAP_BITS = 25
 #: Bytes of text scanned at once, and beginnings that a task holds before it sums them up.
 SCAN = 1 << 20
 HELD = 1_500_000
@@ -98,27 +105,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     gap = np.ones(len(s) + 1, bool)
     gap[:-1] = ~inside
     ends = np.union1d(np.flatnonzero(gap), offsets[1:])
-    length = ends[np.searchsorted(ends, start)] - start
+    length = ends[np.searchsorted(ends, start, side="right")] - start  # a text's first word starts where the text before ends
     return s, start, length, np.searchsorted(offsets, start, side="right") - 1
 
 
-def beginnings(s: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each number of symbols: the words that have so many (with their end), and the packed beginnings."""
-    key = np.zeros(len(start), np.int64)
-    live = np.arange(len(start))
-    for j in range(PREFIX + 1):
-        at = start[live] + j
-        over = length[live] == j
-        x = s[np.minimum(at, len(s) - 1)] if len(s) else np.zeros(0, np.int64)
-        if j == PREFIX:
-            live, x = live[over], x[over]
-            over = over[over]
-        x = np.where(over, END, x)
-        key[live] = (key[live] << BITS) | x
-        yield live, key[live]
-        live = live[~over]
-        if not len(live):
-            return
+def beginnings(s: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each symbol of each word, and its end: the word, the place in it, and the packed beginning."""
+    size = length + 1
+    word = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    ends = place == length[word]
+    x = np.full(len(word), END, np.int64)
+    x[~ends] = s[(start[word] + place)[~ends]]
+    key = x.copy()
+    for t in range(1, PREFIX + 1):
+        key[t:] |= np.where(place[t:] >= t, x[:-t], 0) << (BITS * t)
+    seen = (place < PREFIX) | ((place == PREFIX) & ends)
+    return word[seen], place[seen], key[seen]
+
+
+def names(word: np.ndarray, place: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each of n words, over all its beginnings."""
+    h = key.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    first = np.searchsorted(word, np.arange(n))
+    return np.add.reduceat(h ^ (h >> np.uint64(31)), first).view(np.int64) if n else np.zeros(0, np.int64)
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -142,13 +154,15 @@ def count(docs: DataFrame) -> DataFrame:
             label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in slices(offsets):
                 s, start, length, text = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for live, key in beginnings(s, start, length):
-                    order = np.lexsort((text[live], key))
-                    k, t = key[order], text[live][order]
-                    once = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])] if len(k) else np.zeros(0, bool)
-                    found, n = np.unique((k[once] << 1) | label[lo + t[once]], return_counts=True)
-                    parts.append((found, n))
-                    held += len(found)
+                if not len(start):
+                    continue
+                word, _, key = beginnings(s, start, length)
+                order = np.lexsort((text[word], key))
+                k, t = key[order], text[word][order]
+                once = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
+                found, n = np.unique((k[once] << 1) | label[lo + t[once]], return_counts=True)
+                parts.append((found, n))
+                held += len(found)
                 if held > HELD:
                     parts = [summed(parts)]
                     held = len(parts[0][0])
@@ -193,49 +207,99 @@ def differences(nodes: DataFrame) -> DataFrame:
     return x.select("key", "n", (F.log(p("toxic", toxic / least)) - F.log(p("ordinary", ordinary / least))).alias("differ"))
 
 
-def _slot(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of a key, and what tells it from others in the slot."""
-    h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - 22)).astype(np.int64) & (SLOTS - 1), ((h >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """texts (text) to (word, key): each different word once, by its hash, with each of its beginnings."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_buffer(b.column(0))
+            for lo, hi in slices(offsets):
+                s, start, length, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                name, first = np.unique(names(*beginnings(s, start, length), len(start)), return_index=True)
+                start, length = start[first], np.minimum(length[first], PREFIX + 1)
+                ends = np.cumsum(length)
+                flat = s[np.repeat(start - ends + length, length) + np.arange(int(length.sum()))].astype(np.uint8)
+                flat[(ends - 1)[length > PREFIX]] = END + 1  # that the word goes on, whatever follows
+                spelling = pa.Array.from_buffers(pa.large_binary(), len(name), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(name), spelling], names=["word", "spelling"])
+        release()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s, offsets = text_buffer(b.column(1))
+            word, _, key = beginnings(s.astype(np.int64), offsets[:-1], np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[word]), pa.array(key)], names=["word", "key"])
+        release()
+
+    # Grouped by hash and spelling, so that the spelling need not be an aggregate.
+    once = texts.select("text").mapInArrow(spelled, "word long, spelling binary").groupBy("word", "spelling").agg(F.lit(1).alias("one"))
+    return once.select("word", "spelling").mapInArrow(spread, "word long, key long")
+
+
+def telling_words(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(word, over): the words of texts whose difference exceeds MARGIN, and by how much in UNITs."""
+    found = distinct_words(texts).join(told.select(F.col("key").alias("told_key"), "differ").hint("merge"), F.col("key") == F.col("told_key"))
+    return found.groupBy("word").agg((F.sum("differ") - int(MARGIN * UNIT)).alias("over")).filter("over > 0")
+
+
+def word_map(telling: DataFrame) -> np.ndarray:
+    """Bit map of the telling words' hashes, of fixed size: a word that isn't in it has no evidence."""
+    bit = F.shiftrightunsigned("word", 64 - MAP_BITS)
+    rows = telling.groupBy(F.shiftright(bit, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(word, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def text_id():
+    return F.xxhash64("text")
+
+
+def evidence(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(id, evidence): of each different text that has any, by text_id.
+
+    All words are looked up in the whole table of differences, each different word once; then the
+    telling words are joined to the places where they stand.
+    """
+    telling = written(telling_words(texts, told), "telling")
+    held = texts.sparkSession.sparkContext.broadcast(word_map(telling))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for b in batches:
+            data, offsets = text_buffer(b.column(1))
+            for lo, hi in slices(offsets):
+                s, start, length, text = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                name = names(*beginnings(s, start, length), len(start))
+                bit = (name.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                n = np.bincount(text, minlength=hi - lo)
+                place = np.arange(len(start)) - (np.cumsum(n) - n)[text]
+                hit = np.flatnonzero((bits[bit >> 6] >> (bit & 63)) & 1)
+                at = text[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[lo + at]), pa.array(n[at]), pa.array(place[hit]), pa.array(name[hit])], names=["id", "n", "place", "hit"])
+        release()
+
+    hits = texts.select(text_id().alias("id"), "text").mapInArrow(places, "id long, n long, place long, hit long")
+    found = hits.join(telling.hint("merge"), F.col("hit") == F.col("word")).select("id", "n", "place", "over")
+    # Equal texts have equal ids, so each place is taken once.
+    once = found.repartition("id").groupBy("id", "n", "place").agg(F.max("over").alias("over"))
+    best = once.groupBy("id", "n", F.floor(F.col("place") / PASSAGE)).agg(F.sum("over").alias("over")).groupBy("id", "n").agg(F.max("over").alias("over"))
+    counted = F.least(F.greatest("n", F.lit(LEAST_WORDS)), F.lit(PASSAGE))
+    return best.select("id", (F.col("over") / F.lit(float(UNIT)) / counted).alias("evidence"))
 
 
 class Model:
-    """Differences of the beginnings by slot, and the scores of the evidence."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray, differ: np.ndarray):
-        order = np.lexsort((key, n))  # of two in a slot the more frequent stays
-        slot, tag = _slot(key[order])
-        self.differ = np.zeros(SLOTS, np.float16)
-        self.tag = np.zeros(SLOTS, np.uint16)
-        self.differ[slot], self.tag[slot] = differ[order], tag
+    """Table of the differences (key, differ in UNITs), and the scores of the evidence."""
+
+    def __init__(self, told: DataFrame):
+        self.told = told
         self.edges, self.values = np.array([0.0, 1.0]), np.array([0.0, 0.0])
 
-    def evidence(self, column: pa.Array) -> np.ndarray:
-        data, offsets = text_buffer(column)
-        out = np.zeros(len(offsets) - 1)
-        for lo, hi in slices(offsets):
-            s, start, length, text = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            if not len(start):
-                continue
-            total = np.zeros(len(start))
-            for live, key in beginnings(s, start, length):
-                slot, tag = _slot(key)
-                total[live] += np.where(self.tag[slot] == tag, self.differ[slot], 0)
-            over = np.maximum(total - MARGIN, 0)
-            n = np.bincount(text, minlength=hi - lo)
-            place = np.arange(len(start)) - (np.cumsum(n) - n)[text]
-            passages = -(-n // PASSAGE)
-            first = np.cumsum(passages) - passages
-            sums = np.bincount(first[text] + place // PASSAGE, over, minlength=int(passages.sum()))
-            some = n > 0
-            best = np.maximum.reduceat(sums, first[some])
-            out[lo:hi][some] = best / np.clip(n[some], LEAST_WORDS, PASSAGE)
-        return out
-
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        """Isotonic, with a slope of a hundredth so that evidence still orders equal values."""
-        x = np.minimum(np.sqrt(evidence), LIMIT)
-        return 0.99 * np.interp(x, self.edges, self.values) + 0.01 * x / LIMIT
+    @property
+    def scale(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.edges, self.values
 
     def calibrate(self, bins: np.ndarray, toxic: np.ndarray, total: np.ndarray) -> None:
         """Pool adjacent violators over the bins; a weak prior of the mean rate joins each block."""
@@ -254,43 +318,42 @@ class Model:
         self.edges, self.values = np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
-def bin_of(evidence: np.ndarray) -> np.ndarray:
-    return np.minimum(np.ceil(np.sqrt(evidence) * BINS / LIMIT), BINS).astype(np.int32)
+def numbers(evidence: pa.Array) -> np.ndarray:
+    """Null, of a text without telling words, is 0."""
+    return evidence.fill_null(0.0).to_numpy(zero_copy_only=False)
 
 
-def most_frequent(told: DataFrame, hold: int = HOLD) -> DataFrame:
-    """The beginnings in the most documents, at most hold of them: whole levels of frequency, an eighth of a power of two each.
+def score_of(evidence: np.ndarray, edges: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Isotonic, with a slope of a hundredth so that evidence still orders equal values."""
+    x = np.minimum(np.sqrt(evidence), LIMIT)
+    return 0.99 * np.interp(x, edges, values) + 0.01 * x / LIMIT
 
-    A histogram of the levels, a few hundred rows, says where to cut, so that nothing is sorted.
-    """
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    sizes = sorted(((r["level"], r["count"]) for r in told.groupBy(level.alias("level")).count().collect()), reverse=True)
-    held, least = 0, None
-    for at, n in sizes:
-        if held + n > hold:
-            break
-        held, least = held + n, at
-    return told.limit(0) if least is None else told.filter(level >= least)
+
+def bin_of(evidence: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(np.sqrt(evidence) * BINS / LIMIT), BINS).astype(np.int32)
 
 
 def train(labelled: DataFrame) -> Model | None:
     """The model of labelled (doc_id, text, toxic); None unless both classes occur.
 
-    All is counted and compared on the executors; the driver gets at most HOLD beginnings and BINS bins.
+    All is counted and compared on the executors, and the differences stay in a table; the driver gets BINS bins.
     """
-    spark = labelled.sparkSession
     part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(CALIBRATE))
     nodes = written(count(labelled.filter(part != 0)), "beginnings")
-    told = most_frequent(written(differences(nodes).filter((F.abs("differ") >= DIFFER) & (F.col("n") >= SEEN)), "differences")).toArrow()
+    told = differences(nodes).filter((F.abs("differ") >= DIFFER) & (F.col("n") >= SEEN))
+    told = written(told.select("key", F.round(F.col("differ") * UNIT).cast("long").alias("differ")), "differences")
     forget(nodes)
-    if not told.num_rows:
+    if told.isEmpty():
         return None
-    model = Model(*(told.column(i).to_numpy() for i in range(3)))
-    held = spark.sparkContext.broadcast(model)
-    bins = arrow_map(labelled.filter(part == 0), ["toxic"], ["text"], lambda x: {"bin": pa.array(bin_of(held.value.evidence(x["text"])))}, [T.StructField("bin", T.IntegerType())])
+    model = Model(told)
+    apart = written(labelled.filter(part == 0).select(text_id().alias("text_id"), "text", "toxic"), "calibration")
+    found = written(evidence(apart, told), "evidence")
+    each = apart.select("text_id", "toxic").join(found.hint("merge"), F.col("text_id") == F.col("id"), "left")
+    bins = arrow_map(each, ["toxic"], ["evidence"], lambda x: {"bin": pa.array(bin_of(numbers(x["evidence"])))}, [T.StructField("bin", T.IntegerType())])
     rows = bins.groupBy("bin").agg(F.sum(F.col("toxic").cast("long")).alias("toxic"), F.count("*").alias("n")).collect()
     if rows:
         model.calibrate(*(np.array([r[i] for r in rows], float) for i in range(3)))
+    forget(apart)
     return model
 
 
@@ -322,19 +385,21 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """keep and score (0 to 1)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(x: dict[str, pa.Array]) -> dict[str, pa.Array]:
-        m = held.value
-        return {"score": pa.array(np.zeros(len(x["text"])) if m is None else m.score(m.evidence(x["text"])))}
-
-    return arrow_map(docs, keep, ["text"], run, [T.StructField("score", T.DoubleType())])
+    if model is None:
+        return docs.select(*keep, F.lit(0.0).alias("score"))
+    found = written(evidence(docs.select("text"), model.told), "evidence")
+    each = docs.select(F.struct(*keep).alias("row"), text_id().alias("text_id")).join(found.hint("merge"), F.col("text_id") == F.col("id"), "left")
+    scale = model.scale
+    scored = arrow_column(lambda e: pa.array(score_of(numbers(e), *scale)), "double")
+    return each.select("row.*", scored("evidence").alias("score"))
 
 
 def kept(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
     """The documents whose score is below limit, with all their columns."""
     if model is None:
         return docs
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = arrow_column(lambda t: pa.array(held.value.score(held.value.evidence(t))), "double")
-    return docs.filter(scored("text") < limit)
+    found = written(evidence(docs.select("text"), model.told), "evidence")
+    scale = model.scale
+    scored = arrow_column(lambda e: pa.array(score_of(numbers(e), *scale)), "double")
+    each = docs.select(F.struct(*docs.columns).alias("row"), text_id().alias("text_id")).join(found.hint("merge"), F.col("text_id") == F.col("id"), "left")
+    return each.filter(scored("evidence") < limit).select("row.*")
