@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models of how words are spelled.
 
-A word is read symbol by symbol (6 bits each, case folded, at most PREFIX symbols, then its end).
-For every class, toxic and ordinary, P_c(x | h) is the probability of symbol x after the word's
-beginning h. Counts are numbers of labelled documents, so that one document's repetitions count
+A word is read symbol by symbol to its end (6 bits each, case folded, then the end's own symbol).
+For every class, toxic and ordinary, P_c(x | h) is the probability of symbol x after h, the word's
+last HISTORY symbols so far; up to there that is its whole beginning, and so h is called below. Counts are numbers of labelled documents, so that one document's repetitions count
 once. Rare beginnings are smoothed by what both classes share:
 
     P_c(x | h) = (max(n_c(hx) - D, 0) + (D * types_c(h) + prior_c) * P(x | h)) / (n_c(h) + prior_c)
@@ -39,7 +39,8 @@ from pyspark.sql import types as T
 
 from passagelake.llm.common import arrow_column, arrow_map, forget, release, text_buffer, written
 
-PREFIX = 9
+#: Symbols of a word before the one that is told; HISTORY + 1 symbols fill a 64-bit key.
+HISTORY = 9
 BITS = 6
 END = 1
 DISCOUNT = 0.75
@@ -110,7 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def beginnings(s: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each symbol of each word, and its end: the word, the place in it, and the packed beginning."""
+    """For each symbol of each word, and its end: the word, the place in it, and the symbol packed with its history."""
     size = length + 1
     word = np.repeat(np.arange(len(start)), size)
     place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
@@ -118,10 +119,9 @@ def beginnings(s: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
     x = np.full(len(word), END, np.int64)
     x[~ends] = s[(start[word] + place)[~ends]]
     key = x.copy()
-    for t in range(1, PREFIX + 1):
+    for t in range(1, HISTORY + 1):
         key[t:] |= np.where(place[t:] >= t, x[:-t], 0) << (BITS * t)
-    seen = (place < PREFIX) | ((place == PREFIX) & ends)
-    return word[seen], place[seen], key[seen]
+    return word, place, key
 
 
 def names(word: np.ndarray, place: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
@@ -216,10 +216,9 @@ def distinct_words(texts: DataFrame) -> DataFrame:
             for lo, hi in slices(offsets):
                 s, start, length, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 name, first = np.unique(names(*beginnings(s, start, length), len(start)), return_index=True)
-                start, length = start[first], np.minimum(length[first], PREFIX + 1)
+                start, length = start[first], length[first]
                 ends = np.cumsum(length)
                 flat = s[np.repeat(start - ends + length, length) + np.arange(int(length.sum()))].astype(np.uint8)
-                flat[(ends - 1)[length > PREFIX]] = END + 1  # that the word goes on, whatever follows
                 spelling = pa.Array.from_buffers(pa.large_binary(), len(name), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(name), spelling], names=["word", "spelling"])
         release()

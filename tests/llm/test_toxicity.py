@@ -36,3 +36,11 @@ def test_trained_differences_stay_in_a_table(spark):
     rows = [(i, f"plain ordinary words here {'vile' + 'abcdefgh'[i % 8] if i % 3 == 0 else 'nice'}", int(i % 3 == 0)) for i in range(120)]
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     assert model.told.columns == ["key", "differ"] and packed("v")[0] in {r["key"] for r in model.told.collect()}
+
+
+def test_words_are_read_to_their_end(spark):
+    long = "abcdefghijklmnop"
+    table = told(spark, [long, "abcdefghijklmnopq"], 5)
+    each = (5 - toxicity.MARGIN) / toxicity.LEAST_WORDS
+    assert len(packed(long)) == len(long) + 1
+    assert evidence(spark, [long, long + "q", long + "r", "x" + long, "я" * 400_000], table) == [each, each, 0.0, each, 0.0]
