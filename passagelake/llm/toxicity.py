@@ -15,7 +15,8 @@ is learnt even if each of its inflected words is rare.
 
 The difference of a word's two log-likelihoods is its evidence; what is below MARGIN nats is left
 out, since the mix of languages and topics makes it. A text's evidence is the sum over its words
-divided by their number; of a text over PASSAGE words, that of its most toxic passage. Evidence
+divided by their number; of a text over PASSAGE words, that of its most toxic PASSAGE words in a
+row, wherever they begin. Evidence
 becomes a score by isotonic regression over labelled documents that the counts have not seen.
 
 The differences are a table that grows with what the labelled documents have; none is dropped for
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -284,7 +286,9 @@ def evidence(texts: DataFrame, told: DataFrame) -> DataFrame:
     found = hits.join(telling.hint("merge"), F.col("hit") == F.col("word")).select("id", "n", "place", "over")
     # Equal texts have equal ids, so each place is taken once.
     once = found.repartition("id").groupBy("id", "n", "place").agg(F.max("over").alias("over"))
-    best = once.groupBy("id", "n", F.floor(F.col("place") / PASSAGE)).agg(F.sum("over").alias("over")).groupBy("id", "n").agg(F.max("over").alias("over"))
+    # The most toxic passage may be taken to end at a telling word.
+    passage = W.partitionBy("id").orderBy("place").rangeBetween(1 - PASSAGE, 0)
+    best = once.withColumn("sum", F.sum("over").over(passage)).groupBy("id", "n").agg(F.max("sum").alias("over"))
     counted = F.least(F.greatest("n", F.lit(LEAST_WORDS)), F.lit(PASSAGE))
     return best.select("id", (F.col("over") / F.lit(float(UNIT)) / counted).alias("evidence"))
 

@@ -44,3 +44,18 @@ def test_words_are_read_to_their_end(spark):
     each = (5 - toxicity.MARGIN) / toxicity.LEAST_WORDS
     assert len(packed(long)) == len(long) + 1
     assert evidence(spark, [long, long + "q", long + "r", "x" + long, "я" * 400_000], table) == [each, each, 0.0, each, 0.0]
+
+
+def test_a_passage_may_begin_at_any_word(spark):
+    table = told(spark, ["vile"], 5)
+    rng = np.random.default_rng(0)
+    texts, best = [], []
+    for n in (299, 300, 301, 599, 1000, 2000):
+        for share in (0.01, 0.2):
+            hit = rng.random(n) < share
+            hit[min(n - 1, 290) : 310] = True
+            total = np.r_[0, np.cumsum(hit)]
+            texts.append(" ".join(np.where(hit, "vile", "nice")))
+            width = min(n, toxicity.PASSAGE)
+            best.append((total[width:] - total[:-width]).max() * 3 / width)
+    assert np.allclose(evidence(spark, texts, table), best)
