@@ -1,303 +1,231 @@
-"""Toxicity by class-conditional Kneser-Ney models of how words are spelled.
+"""Toxicity by class-conditional Kneser-Ney models of spelled words.
 
-A word is read symbol by symbol to its end (6 bits each, case folded, then the end's own symbol).
-For every class, toxic and ordinary, P_c(x | h) is the probability of symbol x after h, the word's
-last HISTORY symbols so far; up to there that is its whole beginning, and so h is called below. Counts are numbers of labelled documents, so that one document's repetitions count
-once. Rare beginnings are smoothed by what both classes share:
+A word is a run of up to 32 letters and digits, lower-cased; a longer run is read as several words,
+and in a script without spaces each character begins a word of up to 4 characters. A word is spelled
+by its UTF-8 bytes and a byte for its end. Each class, toxic and ordinary, has its own model of which
+byte x follows a beginning h, learnt from the number of labelled texts of the class that hold a word
+with that beginning (each different word once a text, so that one text's repetitions count once).
+Rare beginnings are smoothed by counts that both classes share, which back off in turn:
 
     P_c(x | h) = (max(n_c(hx) - D, 0) + (D * types_c(h) + prior_c) * P(x | h)) / (n_c(h) + prior_c)
-    P(x | h)   = (max(n(hx) - D, 0) + D * types(h) * P(x | last symbol of h)) / n(h)      both classes
-    P(x | y)   = continuation counts: before how many different beginnings xy occurs
-
-prior_c is PRIOR documents of the smaller class, and the same share of the other. So a beginning
-must be seen in many toxic and few ordinary documents before the classes differ on it, and a stem
-is learnt even if each of its inflected words is rare.
-
-The difference of a word's two log-likelihoods is its evidence; what is below MARGIN nats is left
-out, since the mix of languages and topics makes it. A text's evidence is the sum over its words
-divided by their number; of a text over PASSAGE words, that of its most toxic PASSAGE words in a
-row, wherever they begin. Evidence
-becomes a score by isotonic regression over labelled documents that the counts have not seen.
-
-The differences are a table that grows with what the labelled documents have; none is dropped for
-its size. Each different word of the texts is looked up in it once, and the words with evidence are
-joined to the places where they stand.
-
-Results: null and empty texts have evidence 0. Equal texts get equal scores. Repeated label rows of
-a document count once, toxic if any is; null labels are none. Without labelled documents of both
-classes every score is 0. An empty table gives an empty result.
+    P(x | h)   = (max(n(hx) - D, 0) + D * types(h) * P(x | y)) / n(h)               y: last byte of h
+    P(x | y)   = (max(m(yx) - D, 0) + D * types(y) * P(x)) / m(y)    m: different beginnings that end so
+    P(x)       = the same for the number of bytes y that come before x, over an even distribution
+
+prior_c is PRIOR texts of the smaller class, and the same share of the other. The log-likelihood of a
+word is the sum over its bytes; where a beginning was never seen, both classes go on alike, after one
+step to what each leaves for unseen bytes. So a stem is learnt even if each of its inflected words is
+rare. Expressions of several words are scored by their words.
+
+A text's evidence is the mean over all its words (LEAST_WORDS at least) of the toxic minus the ordinary
+log-likelihood, where a word counts by what it has over MARGIN nats: toxic texts too consist of ordinary
+words mostly, on which the classes differ by topic, language and chance. Evidence becomes a score by
+isotonic regression over labelled texts that the counts have not seen.
+
+The counts are a table of all beginnings that grows with the labelled texts. The different words of
+the texts are merged with it in one sorted stream, in which a word's deepest known beginning is the
+last one before it; the memory that this takes is that of one word's beginnings.
+
+Results: null and empty texts, texts without letters, have evidence 0. Equal texts get equal scores,
+and count once in learning, toxic if any is; ties and repeated rows change nothing. A very long text
+is read to its end in slices. Repeated label rows of a document count once, toxic if any is; null
+labels are none. Without labelled texts of both classes every score is 0. An empty table gives an
+empty result. Columns other than the named ones are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagelake.llm.common import arrow_column, arrow_map, forget, release, text_buffer, written
+from passagelake.llm.common import arrow_column, arrow_map, forget, release, written
 
-#: Symbols of a word before the one that is told; HISTORY + 1 symbols fill a 64-bit key.
-HISTORY = 9
-BITS = 6
-END = 1
 DISCOUNT = 0.75
-PRIOR = 6.0
+PRIOR = 3.0
 MARGIN = 2.0
 #: Score from which a document is called toxic.
 TOXIC = 0.7
-PASSAGE = 300
 #: Texts with fewer words count as if they had so many.
 LEAST_WORDS = 10
-#: Of the labelled documents to learn from, one in so many sets the scores instead of the counts.
+#: Of the labelled texts to learn from, one in so many sets the scores instead of the counts.
 CALIBRATE = 5
 #: Bins of the square root of the evidence, up to LIMIT.
 BINS, LIMIT = 1000, 2.5
-#: Documents in which a beginning must occur to tell the classes apart; a rarer one is left to the shared model.
-SEEN = 5
-#: Beginnings whose classes differ by less count as equal; all others are held, in a table.
-DIFFER = 0.05
-#: Parts of a nat in which differences and evidence are whole numbers, so that sums don't depend on their order.
+#: Parts of a nat in which evidence is a whole number, so that sums don't depend on their order.
 UNIT = 1 << 32
-#: Bits of the map of telling words; it is of fixed size and only spares the join words that have no evidence.
+#: Bits of the maps of telling words and rejected texts; their size is fixed and they only spare joins the rows that can't match.
 MAP_BITS = 25
-#: Bytes of text scanned at once, and beginnings that a task holds before it sums them up.
-SCAN = 1 << 20
-HELD = 1_500_000
-
-
-def _symbols() -> np.ndarray:
-    """Symbol of each byte; 0 is none, between words."""
-    out = np.zeros(256, np.int64)
-    for i in range(26):
-        out[ord("a") + i] = out[ord("A") + i] = 2 + i
-    for i in range(10):
-        out[ord("0") + i] = 28 + i
-    out[ord("'")] = 38
-    for b in range(128, 256):
-        out[b] = 39 + b % 25
-    return out
-
-
-SYMBOL = _symbols()
-
-
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about SCAN bytes; a longer text is a run of its own."""
-    first = 0
-    for i in range(1, len(offsets)):
-        if i == len(offsets) - 1 or offsets[i + 1] - offsets[first] > SCAN:
-            yield first, i
-            first = i
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, and of each word its first byte, length and text."""
-    s = SYMBOL[data]
-    inside = s > 0
-    before = np.empty(len(s), bool)
-    before[:1] = False
-    before[1:] = inside[:-1]
-    cut = offsets[:-1][offsets[:-1] < len(s)]
-    before[cut] = False
-    start = np.flatnonzero(inside & ~before)
-    gap = np.ones(len(s) + 1, bool)
-    gap[:-1] = ~inside
-    ends = np.union1d(np.flatnonzero(gap), offsets[1:])
-    length = ends[np.searchsorted(ends, start, side="right")] - start  # a text's first word starts where the text before ends
-    return s, start, length, np.searchsorted(offsets, start, side="right") - 1
-
-
-def beginnings(s: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each symbol of each word, and its end: the word, the place in it, and the symbol packed with its history."""
-    size = length + 1
-    word = np.repeat(np.arange(len(start)), size)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-    ends = place == length[word]
-    x = np.full(len(word), END, np.int64)
-    x[~ends] = s[(start[word] + place)[~ends]]
-    key = x.copy()
-    for t in range(1, HISTORY + 1):
-        key[t:] |= np.where(place[t:] >= t, x[:-t], 0) << (BITS * t)
-    return word, place, key
-
-
-def names(word: np.ndarray, place: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each of n words, over all its beginnings."""
-    h = key.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    first = np.searchsorted(word, np.arange(n))
-    return np.add.reduceat(h ^ (h >> np.uint64(31)), first).view(np.int64) if n else np.zeros(0, np.int64)
-
-
-def count(docs: DataFrame) -> DataFrame:
-    """docs (text, toxic 0 or 1) to (key, ordinary, toxic): documents of each class that have a beginning."""
-
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in parts])
-        counts = np.concatenate([c for _, c in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.add.reduceat(counts, first)
+#: Different words that a task holds before it passes them on, and characters of a text whose words are listed at once.
+HELD = 300_000
+SLICE = 1 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            data, offsets = text_buffer(b.column(0))
-            label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in slices(offsets):
-                s, start, length, text = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                if not len(start):
-                    continue
-                word, _, key = beginnings(s, start, length)
-                order = np.lexsort((text[word], key))
-                k, t = key[order], text[word][order]
-                once = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
-                found, n = np.unique((k[once] << 1) | label[lo + t[once]], return_counts=True)
-                parts.append((found, n))
-                held += len(found)
-                if held > HELD:
-                    parts = [summed(parts)]
-                    held = len(parts[0][0])
-        if held:
-            keys, n = summed(parts)
-            for i in range(0, len(keys), 100_000):
-                k, m = keys[i : i + 100_000], n[i : i + 100_000]
-                toxic = (k & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(np.where(toxic, 0, m)), pa.array(np.where(toxic, m, 0))], names=["key", "ordinary", "toxic"])
-        parts.clear()
-        release()
+WORD = re.compile(r"[^\W_]{1,32}")
+#: Letters of scripts that are written without spaces.
+UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF))) + "]")
+PIECE = 4
+END = b"\0"
 
-    counted = docs.select("text", F.col("toxic").cast("int")).mapInArrow(run, "key long, ordinary long, toxic long")
-    return counted.groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-def differences(nodes: DataFrame) -> DataFrame:
-    """(key, n, differ): documents with a beginning, and log P_toxic - log P_ordinary of its last symbol."""
-    parent = F.shiftright("key", BITS)
-    mask = (1 << BITS) - 1
-    nodes = nodes.withColumns({"parent": parent, "n": F.col("ordinary") + F.col("toxic"), "last": parent.bitwiseAND(mask), "sym": F.col("key").bitwiseAND(mask)})
-    root = nodes.filter("parent = 0").agg(F.sum("ordinary"), F.sum("toxic")).first()
-    ordinary, toxic = root[0] or 0, root[1] or 0
-    if not ordinary or not toxic:
-        return nodes.select("key", "n", F.lit(0.0).alias("differ")).limit(0)
-    kinds = lambda c: F.count_if(F.col(c) > 0)
-    of = {c: f"{c}_h" for c in ("ordinary", "toxic", "n")}
-    above = nodes.groupBy(F.col("parent").alias("of_parent")).agg(*[F.sum(c).alias(h) for c, h in of.items()], *[kinds(c).alias(f"{h}_types") for c, h in of.items()])
-    pairs = nodes.groupBy(F.col("last").alias("of_last"), F.col("sym").alias("of_sym")).agg(F.count("*").alias("types"))  # at most 64 * 64 rows
-    lasts = pairs.groupBy(F.col("of_last").alias("all_last")).agg(F.sum("types").alias("all_types"))
-    pairs = pairs.join(F.broadcast(lasts), pairs["of_last"] == lasts["all_last"]).select("of_last", "of_sym", (F.col("types") / F.col("all_types")).alias("p_last"))
-    x = nodes.join(above, nodes["parent"] == above["of_parent"])
-    x = x.join(F.broadcast(pairs), (x["last"] == pairs["of_last"]) & (x["sym"] == pairs["of_sym"]))
-    shared = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("n_h_types") * F.col("p_last")) / F.col("n_h")
-    x = x.withColumn("shared", shared)
-
-    def p(c: str, share: float):
-        prior = PRIOR * share
-        return (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(f"{c}_h_types") + prior) * F.col("shared")) / (F.col(f"{c}_h") + prior)
-
-    least = min(ordinary, toxic)
-    return x.select("key", "n", (F.log(p("toxic", toxic / least)) - F.log(p("ordinary", ordinary / least))).alias("differ"))
 
+def words(text: str) -> Iterator[list[str]]:
+    """All words of a text, in lists of bounded size."""
+    text = text.lower()
+    if len(text) <= SLICE:
+        lists: Iterator[list[str]] = iter([WORD.findall(text)])
+    else:
+        found = WORD.finditer(text)
+        lists = iter(lambda: [m[0] for m in islice(found, SLICE // 8)], [])
+    unspaced = not text.isascii() and UNSPACED.search(text)
+    for part in lists:
+        yield [p for w in part for p in (pieces(w) if UNSPACED.search(w) else (w,))] if unspaced else part
 
-def distinct_words(texts: DataFrame) -> DataFrame:
-    """texts (text) to (word, key): each different word once, by its hash, with each of its beginnings."""
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_buffer(b.column(0))
-            for lo, hi in slices(offsets):
-                s, start, length, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                name, first = np.unique(names(*beginnings(s, start, length), len(start)), return_index=True)
-                start, length = start[first], length[first]
-                ends = np.cumsum(length)
-                flat = s[np.repeat(start - ends + length, length) + np.arange(int(length.sum()))].astype(np.uint8)
-                spelling = pa.Array.from_buffers(pa.large_binary(), len(name), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(name), spelling], names=["word", "spelling"])
-        release()
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s, offsets = text_buffer(b.column(1))
-            word, _, key = beginnings(s.astype(np.int64), offsets[:-1], np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[word]), pa.array(key)], names=["word", "key"])
-        release()
+def pieces(word: str) -> list[str]:
+    return [word[i : i + PIECE] for i in range(len(word))]
 
-    # Grouped by hash and spelling, so that the spelling need not be an aggregate.
-    once = texts.select("text").mapInArrow(spelled, "word long, spelling binary").groupBy("word", "spelling").agg(F.lit(1).alias("one"))
-    return once.select("word", "spelling").mapInArrow(spread, "word long, key long")
 
+def word_id(spelled: bytes) -> int:
+    """Signed 64-bit hash of a word with its end."""
+    h = xxhash.xxh64_intdigest(spelled, 42)
+    return h - (1 << 64) if h >> 63 else h
 
-def telling_words(texts: DataFrame, told: DataFrame) -> DataFrame:
-    """(word, over): the words of texts whose difference exceeds MARGIN, and by how much in UNITs."""
-    found = distinct_words(texts).join(told.select(F.col("key").alias("told_key"), "differ").hint("merge"), F.col("key") == F.col("told_key"))
-    return found.groupBy("word").agg((F.sum("differ") - int(MARGIN * UNIT)).alias("over")).filter("over > 0")
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-def word_map(telling: DataFrame) -> np.ndarray:
-    """Bit map of the telling words' hashes, of fixed size: a word that isn't in it has no evidence."""
-    bit = F.shiftrightunsigned("word", 64 - MAP_BITS)
-    rows = telling.groupBy(F.shiftright(bit, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(word, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
 
+def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-def text_id():
-    return F.xxhash64("text")
 
+def by_prefix(spelled: DataFrame, *order: str) -> DataFrame:
+    """All that begins with the same two bytes in one sorted stream."""
+    return spelled.repartition(F.substring("spelled", 1, 2)).sortWithinPartitions("spelled", *order)
 
-def evidence(texts: DataFrame, told: DataFrame) -> DataFrame:
-    """(id, evidence): of each different text that has any, by text_id.
 
-    All words are looked up in the whole table of differences, each different word once; then the
-    telling words are joined to the places where they stand.
-    """
-    telling = written(telling_words(texts, told), "telling")
-    held = texts.sparkSession.sparkContext.broadcast(word_map(telling))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for b in batches:
-            data, offsets = text_buffer(b.column(1))
-            for lo, hi in slices(offsets):
-                s, start, length, text = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                name = names(*beginnings(s, start, length), len(start))
-                bit = (name.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                n = np.bincount(text, minlength=hi - lo)
-                place = np.arange(len(start)) - (np.cumsum(n) - n)[text]
-                hit = np.flatnonzero((bits[bit >> 6] >> (bit & 63)) & 1)
-                at = text[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[lo + at]), pa.array(n[at]), pa.array(place[hit]), pa.array(name[hit])], names=["id", "n", "place", "hit"])
+def count(texts: DataFrame) -> DataFrame:
+    """texts (text, toxic 0 or 1) to all beginnings of two bytes or more, with the texts of each class and the kinds of the next byte."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        counts: dict[str, int] = {}
+        for text, toxic in rows_of(batches):
+            one = 1 << 32 if toxic else 1
+            for w in {w for part in words(text or "") for w in part}:
+                counts[w] = counts.get(w, 0) + one
+            if len(counts) > HELD:
+                yield from ((w.encode() + END, n & 0xFFFFFFFF, n >> 32) for w, n in counts.items())
+                counts = {}
+        yield from ((w.encode() + END, n & 0xFFFFFFFF, n >> 32) for w, n in counts.items())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(held(batches), pa.schema([("spelled", pa.binary()), ("ordinary", pa.int64()), ("toxic", pa.int64())]))
+        release()
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        word, open_ = b"", []  # of each beginning of the word from two bytes on: ordinary, toxic, kinds of each class, kinds
+        for next_, ordinary, toxic in rows_of(batches):
+            if next_ != word:
+                shared = max(1, common(word, next_))
+                yield from closed(word, open_, shared)
+                open_ += [[0, 0, 0, 0, 0] for _ in range(len(next_) - shared)]
+                word = next_
+            open_[-1][0] += ordinary
+            open_[-1][1] += toxic
+        yield from closed(word, open_, 1)
+
+    schema = pa.schema([("spelled", pa.binary())] + [(c, pa.int64()) for c in STATS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(grown(batches), schema)
         release()
 
-    hits = texts.select(text_id().alias("id"), "text").mapInArrow(places, "id long, n long, place long, hit long")
-    found = hits.join(telling.hint("merge"), F.col("hit") == F.col("word")).select("id", "n", "place", "over")
-    # Equal texts have equal ids, so each place is taken once.
-    once = found.repartition("id").groupBy("id", "n", "place").agg(F.max("over").alias("over"))
-    # The most toxic passage may be taken to end at a telling word.
-    passage = W.partitionBy("id").orderBy("place").rangeBetween(1 - PASSAGE, 0)
-    best = once.withColumn("sum", F.sum("over").over(passage)).groupBy("id", "n").agg(F.max("sum").alias("over"))
-    counted = F.least(F.greatest("n", F.lit(LEAST_WORDS)), F.lit(PASSAGE))
-    return best.select("id", (F.col("over") / F.lit(float(UNIT)) / counted).alias("evidence"))
+    found = texts.select("text", F.col("toxic").cast("int")).mapInArrow(counted, "spelled binary, ordinary long, toxic long")
+    return by_prefix(found).mapInArrow(run, "spelled binary, " + ", ".join(f"{c} long" for c in STATS))
+
+
+STATS = ("ordinary", "toxic", "kinds_ordinary", "kinds_toxic", "kinds")
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = 0
+    for x, y in zip(a, b):  # noqa: B905
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def closed(word: bytes, open_: list[list[int]], keep: int) -> Iterator[tuple]:
+    """Closes the beginnings of a word that are longer than keep, and adds them to those that they extend."""
+    for size in range(len(word), keep, -1):
+        s = open_.pop()
+        if open_:
+            add(open_[-1], s)
+        yield (word[:size], *s)
+
+
+def add(to: list[int], s: list[int]) -> None:
+    to[0] += s[0]
+    to[1] += s[1]
+    to[2] += s[0] > 0
+    to[3] += s[1] > 0
+    to[4] += 1
+
+
+class Spelling:
+    """What all words share: the beginnings of up to two bytes with their differences, and P(x | y). At most 2^16 rows each."""
+
+    def __init__(self, shortest: list[tuple], pairs: np.ndarray, texts: tuple[int, int]):
+        least = min(texts)
+        self.prior = tuple(PRIOR * n / least for n in texts)
+        root, first = [0] * 5, {}
+        for spelled, *s in shortest:
+            add(first.setdefault(spelled[:1], [0] * 5), s)
+        for spelled, s in first.items():
+            add(root, s)
+            pairs[0, spelled[0]] = 1
+        kinds = pairs > 0
+        before = kinds.sum(0)
+        even = (np.maximum(before - DISCOUNT, 0) + DISCOUNT * (before > 0).sum() / 256) / max(1, before.sum())
+        self.after = ((np.maximum(pairs - DISCOUNT, 0) + DISCOUNT * kinds.sum(1)[:, None] * even) / np.maximum(pairs.sum(1), 1)[:, None]).tolist()
+        self.top = {b"": (0.0, *root)}
+        for spelled, *s in sorted([(k, *v) for k, v in first.items()] + shortest, key=lambda x: (len(x[0]), x[0])):
+            self.top[spelled] = (self.longer(self.top[spelled[:-1]], spelled, s[0], s[1]), *s)
+
+    def longer(self, parent: tuple, spelled: bytes, ordinary: int, toxic: int) -> float:
+        """Difference of the log-likelihoods of a beginning, from that of one byte less."""
+        differ, o, t, ko, kt, k = parent
+        last = spelled[-2] if len(spelled) > 1 else 0
+        shared = (max(ordinary + toxic - DISCOUNT, 0) + DISCOUNT * k * self.after[last][spelled[-1]]) / (o + t)
+        of_o, of_t = self.prior
+        p_t = (max(toxic - DISCOUNT, 0) + (DISCOUNT * kt + of_t) * shared) / (t + of_t)
+        p_o = (max(ordinary - DISCOUNT, 0) + (DISCOUNT * ko + of_o) * shared) / (o + of_o)
+        return differ + math.log(p_t / p_o)
+
+    def unseen(self, parent: tuple) -> float:
+        """Difference of a word that goes on from a beginning as no word did."""
+        differ, o, t, ko, kt, _ = parent
+        of_o, of_t = self.prior
+        return differ + math.log((DISCOUNT * kt + of_t) / (t + of_t)) - math.log((DISCOUNT * ko + of_o) / (o + of_o))
 
 
 class Model:
-    """Table of the differences (key, differ in UNITs), and the scores of the evidence."""
+    """Table of beginnings with their counts, what words share, and the scores of the evidence."""
 
-    def __init__(self, told: DataFrame):
-        self.told = told
+    def __init__(self, beginnings: DataFrame, spelling: Spelling):
+        self.beginnings, self.spelling = beginnings, spelling
         self.edges, self.values = np.array([0.0, 1.0]), np.array([0.0, 0.0])
 
     @property
@@ -321,6 +249,103 @@ class Model:
         self.edges, self.values = np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """The different words of texts (text), spelled; a word may come from several tasks."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: set[str] = set()
+        for (text,) in rows_of(batches):
+            for part in words(text or ""):
+                held.update(part)
+                if len(held) > HELD:
+                    yield from ((w.encode() + END,) for w in held)
+                    held = set()
+        yield from ((w.encode() + END,) for w in held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(found(batches), pa.schema([("spelled", pa.binary())]))
+        release()
+
+    return texts.select("text").mapInArrow(run, "spelled binary")
+
+
+def telling_words(texts: DataFrame, model: Model) -> DataFrame:
+    """(word, over): the words of texts that have evidence, by word_id, and how much in UNITs."""
+    spelling = texts.sparkSession.sparkContext.broadcast(model.spelling)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        known, path, word = spelling.value, [], None  # path: (beginning, its statistics) of all beginnings of the present row
+        for spelled, is_word, *s in rows_of(batches):
+            while path and not spelled.startswith(path[-1][0]):
+                path.pop()
+            if not is_word:
+                parent = path[-1][1] if path else known.top[spelled[:-1]]
+                path.append((spelled, (known.longer(parent, spelled, s[0], s[1]), *s)))
+            elif spelled != word:
+                word = spelled
+                deepest, stats = path[-1] if path else (b"", known.top.get(spelled[:1], known.top[b""]))
+                over = (stats[0] if deepest == spelled else known.unseen(stats)) - MARGIN
+                if over > 0:
+                    yield word_id(spelled), round(over * UNIT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(looked_up(batches), pa.schema([("word", pa.int64()), ("over", pa.int64())]))
+        release()
+
+    nothing = [F.lit(0).cast("long").alias(c) for c in STATS]
+    both = model.beginnings.select("spelled", F.lit(False).alias("is_word"), *STATS).unionByName(distinct_words(texts).select("spelled", F.lit(True).alias("is_word"), *nothing))
+    return by_prefix(both, "is_word").mapInArrow(run, "word long, over long")
+
+
+def bit_map(ids: DataFrame, name: str) -> bytes:
+    """Bit map of the upper bits of 64-bit hashes, of fixed size: a hash whose bit is 0 isn't among the ids."""
+    bit = F.shiftrightunsigned(name, 64 - MAP_BITS)
+    rows = ids.groupBy(F.shiftright(bit, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{name}`, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), "<i8")
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out.tobytes()
+
+
+def text_id():
+    return F.xxhash64("text")
+
+
+def evidence(texts: DataFrame, model: Model) -> DataFrame:
+    """(id, evidence): of each different text that has any, by text_id.
+
+    Each different word is looked up once; then the telling words are joined to the texts that hold them.
+    """
+    telling = written(telling_words(texts, model), "telling")
+    bits = texts.sparkSession.sparkContext.broadcast(bit_map(telling, "word"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        told, known = bits.value, {}
+        for id_, text in rows_of(batches):
+            n, counts = 0, Counter()
+            for part in words(text or ""):
+                counts.update(part)
+                n += len(part)
+            if len(known) > HELD:
+                known = {}
+            for w, times in counts.items():
+                hit = known.get(w, 0)
+                if hit == 0:
+                    h = word_id(w.encode() + END)
+                    at = (h & 0xFFFFFFFFFFFFFFFF) >> (64 - MAP_BITS)
+                    hit = known[w] = h if told[at >> 3] >> (at & 7) & 1 else None
+                if hit is not None:
+                    yield id_, n, hit, times
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(places(batches), pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hit", pa.int64()), ("times", pa.int64())]))
+        release()
+
+    hits = texts.select(text_id().alias("id"), "text").mapInArrow(run, "id long, n long, hit long, times long")
+    # Equal texts have equal ids, so each word of theirs is taken once. A word's evidence is the same wherever it comes from.
+    once = hits.join(telling.hint("merge"), F.col("hit") == F.col("word")).groupBy("id", "n", "hit").agg(F.max(F.col("over") * F.col("times")).alias("over"))
+    return once.groupBy("id", "n").agg(F.sum("over").alias("over")).select("id", (F.col("over") / F.lit(float(UNIT)) / F.greatest("n", F.lit(LEAST_WORDS))).alias("evidence"))
+
+
 def numbers(evidence: pa.Array) -> np.ndarray:
     """Null, of a text without telling words, is 0."""
     return evidence.fill_null(0.0).to_numpy(zero_copy_only=False)
@@ -339,18 +364,23 @@ def bin_of(evidence: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame) -> Model | None:
     """The model of labelled (doc_id, text, toxic); None unless both classes occur.
 
-    All is counted and compared on the executors, and the differences stay in a table; the driver gets BINS bins.
+    All is counted and compared on the executors; the driver gets the shortest beginnings, pairs of bytes and BINS bins.
     """
     part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(CALIBRATE))
-    nodes = written(count(labelled.filter(part != 0)), "beginnings")
-    told = differences(nodes).filter((F.abs("differ") >= DIFFER) & (F.col("n") >= SEEN))
-    told = written(told.select("key", F.round(F.col("differ") * UNIT).cast("long").alias("differ")), "differences")
-    forget(nodes)
-    if told.isEmpty():
+    counted = labelled.filter(part != 0)
+    toxic, total = counted.agg(F.sum(F.col("toxic").cast("long")), F.count("*")).first()
+    if not toxic or toxic == total:
+        return None
+    beginnings = written(count(counted), "beginnings")
+    shortest = [tuple(r) for r in beginnings.filter(F.octet_length("spelled") == 2).collect()]
+    if not shortest:
         return None
-    model = Model(told)
+    pairs = np.zeros((256, 256))
+    for r in beginnings.groupBy(F.substring("spelled", -2, 2).alias("last")).count().collect():
+        pairs[r["last"][0], r["last"][1]] = r["count"]
+    model = Model(beginnings, Spelling(shortest, pairs, (total - toxic, toxic)))
     apart = written(labelled.filter(part == 0).select(text_id().alias("text_id"), "text", "toxic"), "calibration")
-    found = written(evidence(apart, told), "evidence")
+    found = evidence(apart, model)
     each = apart.select("text_id", "toxic").join(found.hint("merge"), F.col("text_id") == F.col("id"), "left")
     bins = arrow_map(each, ["toxic"], ["evidence"], lambda x: {"bin": pa.array(bin_of(numbers(x["evidence"])))}, [T.StructField("bin", T.IntegerType())])
     rows = bins.groupBy("bin").agg(F.sum(F.col("toxic").cast("long")).alias("toxic"), F.count("*").alias("n")).collect()
@@ -370,12 +400,14 @@ def held_out_flag(folds: int = 3, fold: int = 1):
 
 
 def label_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
-    """doc_id, text, toxic of the labelled documents outside the held-out fold."""
+    """doc_id, text, toxic of the labelled documents outside the held-out fold; of equal texts, that with the least id."""
     open_ = F.col("doc_id").isNotNull() & (fold_of(folds) != held_out)
     known = labels.filter(F.col("toxic").isNotNull() & open_).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select("doc_id", "text").filter(open_)
-    # A merge join at any size: a broadcast of the labels would grow with them.
-    return texts.join(known.hint("merge"), texts["doc_id"] == known["label_id"]).select("doc_id", "text", "toxic")
+    # Merge joins at any size: a broadcast of the labels would grow with them. Ids of texts are joined first, the texts last.
+    ids = texts.select("doc_id", text_id().alias("id")).join(known.hint("merge"), F.col("doc_id") == F.col("label_id"))
+    first = ids.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.max("toxic").alias("toxic"))
+    return texts.join(first.hint("merge"), (F.col("doc_id") == F.col("first_id")) & (text_id() == F.col("id"))).select("doc_id", "text", "toxic")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Model | None:
@@ -390,7 +422,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """keep and score (0 to 1)."""
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
-    found = written(evidence(docs.select("text"), model.told), "evidence")
+    found = written(evidence(docs.select("text"), model), "evidence")
     each = docs.select(F.struct(*keep).alias("row"), text_id().alias("text_id")).join(found.hint("merge"), F.col("text_id") == F.col("id"), "left")
     scale = model.scale
     scored = arrow_column(lambda e: pa.array(score_of(numbers(e), *scale)), "double")
@@ -398,11 +430,21 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
-    """The documents whose score is below limit, with all their columns."""
+    """The documents whose score is below limit, with all their columns.
+
+    Only documents that share a bit of a map of fixed size with a rejected text are shuffled.
+    """
     if model is None:
         return docs
-    found = written(evidence(docs.select("text"), model.told), "evidence")
     scale = model.scale
     scored = arrow_column(lambda e: pa.array(score_of(numbers(e), *scale)), "double")
-    each = docs.select(F.struct(*docs.columns).alias("row"), text_id().alias("text_id")).join(found.hint("merge"), F.col("text_id") == F.col("id"), "left")
-    return each.filter(scored("evidence") < limit).select("row.*")
+    rejected = written(evidence(docs.select("text"), model).filter(scored("evidence") >= limit).select("id"), "rejected")
+    bits = docs.sparkSession.sparkContext.broadcast(np.frombuffer(bit_map(rejected, "id"), np.uint8))
+
+    def marked(ids: pa.Array) -> pa.Array:
+        at = ids.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MAP_BITS)
+        return pa.array((bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    each = docs.select(F.struct(*docs.columns).alias("row"), text_id().alias("text_id"), arrow_column(marked, "boolean")(text_id()).alias("marked"))
+    clean = each.filter(~F.col("marked")).select("row.*")
+    return clean.unionAll(each.filter("marked").join(rejected.hint("merge"), F.col("text_id") == F.col("id"), "left_anti").select("row.*"))
