@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -23,17 +26,31 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared checkpoint folder, and read from there.
+#: The temporary folder of sessions on one machine that name none.
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only a session without such a folder (as in a local test) gets a temporary one.
+    A session on this machine alone (as in a test) gets a temporary one if none is named; on a cluster it must be named.
     """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="passagelake-"))
+            atexit.register(shutil.rmtree, _own[0].removeprefix("file://"), ignore_errors=True)
+        found = _own[0]
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the shared checkpoint folder, and read from there."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="passagelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/passagelake/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/passagelake/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

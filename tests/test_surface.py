@@ -71,3 +71,24 @@ def test_what_is_told(tmp_path):
 def test_slow_reads_are_given_up():
     with pytest.raises(TimeoutError):
         folder.read_bytes("x", 0.05, lambda p: time.sleep(0.5))
+
+
+class Unnamed:
+    """As much of a session without spark.checkpoint.dir as shared_dir looks at."""
+
+    def __init__(self, master):
+        self.conf = self.sparkContext = self
+        self.master = master
+
+    def get(self, key, default):
+        return default
+
+
+def test_without_a_checkpoint_folder():
+    from passagelake.session import shared_dir
+
+    own = shared_dir(Unnamed("local[4]"))
+    assert own.startswith("file:///") and own == shared_dir(Unnamed("local"))
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(Unnamed(master))
