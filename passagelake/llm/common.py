@@ -8,17 +8,17 @@ executors), so a lost executor costs only the re-run of its tasks.
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagelake.session import ship
+from passagelake.session import shared_dir, ship
 
 try:
     _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
@@ -38,18 +38,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only when it is unset (as in a local test) is a temporary folder made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/llm/{what}-{uuid.uuid4().hex}"
 
@@ -64,13 +52,52 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the folder of a table made by written() that nothing reads any more."""
     path = getattr(df, "_llm_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
+
+
+class BitMap:
+    """Upper bits of 64-bit hashes, in 4 MB at any number of them: a hash whose bit is 0 is not among them.
+
+    It only spares joins the rows that can't match; rows whose bit is 1 need the join.
+    """
+
+    BITS = 25
+
+    def __init__(self, bits: Broadcast):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, ids: DataFrame, name: str) -> BitMap:
+        """Gathered as at most 2^19 rows of 64 bits."""
+        bit = F.shiftrightunsigned(name, 64 - cls.BITS)
+        one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{name}`, {64 - cls.BITS}) & 63 as int))")
+        rows = ids.groupBy(F.shiftright(bit, 6).cast("int").alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
+        out = np.zeros(1 << (cls.BITS - 6), "<i8")
+        out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+        return cls(ids.sparkSession.sparkContext.broadcast(out.tobytes()))
+
+    def __contains__(self, h: int) -> bool:
+        at = (h & 0xFFFFFFFFFFFFFFFF) >> (64 - self.BITS)
+        return bool(self.bits.value[at >> 3] >> (at & 7) & 1)
+
+    def holds(self, ids: Column) -> Column:
+        bits, shift = self.bits, np.uint64(64 - self.BITS)
+
+        def run(x: pa.Array) -> pa.Array:
+            at = x.to_numpy(zero_copy_only=False).view(np.uint64) >> shift
+            return pa.array((np.frombuffer(bits.value, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+        return F.arrow_udf(run, "boolean")(ids)
 
 
 def release() -> None:

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagelake.llm.common import arrow_column, arrow_map, forget, release, written
+from passagelake.llm.common import BitMap, arrow_column, arrow_map, forget, release, written
 
 DISCOUNT = 0.75
 PRIOR = 3.0
@@ -63,8 +63,6 @@ CALIBRATE = 5
 BINS, LIMIT = 1000, 2.5
 #: Parts of a nat in which evidence is a whole number, so that sums don't depend on their order.
 UNIT = 1 << 32
-#: Bits of the maps of telling words and rejected texts; their size is fixed and they only spare joins the rows that can't match.
-MAP_BITS = 25
 #: Different words that a task holds before it passes them on, and characters of a text whose words are listed at once.
 HELD = 300_000
 SLICE = 1 << 20
@@ -297,15 +295,6 @@ def telling_words(texts: DataFrame, model: Model) -> DataFrame:
     return by_prefix(both, "is_word").mapInArrow(run, "word long, over long")
 
 
-def bit_map(ids: DataFrame, name: str) -> bytes:
-    """Bit map of the upper bits of 64-bit hashes, of fixed size: a hash whose bit is 0 isn't among the ids."""
-    bit = F.shiftrightunsigned(name, 64 - MAP_BITS)
-    rows = ids.groupBy(F.shiftright(bit, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{name}`, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), "<i8")
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out.tobytes()
-
-
 def text_id():
     return F.xxhash64("text")
 
@@ -316,10 +305,10 @@ def evidence(texts: DataFrame, model: Model) -> DataFrame:
     Each different word is looked up once; then the telling words are joined to the texts that hold them.
     """
     telling = written(telling_words(texts, model), "telling")
-    bits = texts.sparkSession.sparkContext.broadcast(bit_map(telling, "word"))
+    told = BitMap.of(telling, "word")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        told, known = bits.value, {}
+        known: dict[str, int | None] = {}
         for id_, text in rows_of(batches):
             n, counts = 0, Counter()
             for part in words(text or ""):
@@ -331,8 +320,7 @@ def evidence(texts: DataFrame, model: Model) -> DataFrame:
                 hit = known.get(w, 0)
                 if hit == 0:
                     h = word_id(w.encode() + END)
-                    at = (h & 0xFFFFFFFFFFFFFFFF) >> (64 - MAP_BITS)
-                    hit = known[w] = h if told[at >> 3] >> (at & 7) & 1 else None
+                    hit = known[w] = h if h in told else None
                 if hit is not None:
                     yield id_, n, hit, times
 
@@ -439,12 +427,6 @@ def kept(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
     scale = model.scale
     scored = arrow_column(lambda e: pa.array(score_of(numbers(e), *scale)), "double")
     rejected = written(evidence(docs.select("text"), model).filter(scored("evidence") >= limit).select("id"), "rejected")
-    bits = docs.sparkSession.sparkContext.broadcast(np.frombuffer(bit_map(rejected, "id"), np.uint8))
-
-    def marked(ids: pa.Array) -> pa.Array:
-        at = ids.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MAP_BITS)
-        return pa.array((bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
-
-    each = docs.select(F.struct(*docs.columns).alias("row"), text_id().alias("text_id"), arrow_column(marked, "boolean")(text_id()).alias("marked"))
+    each = docs.select(F.struct(*docs.columns).alias("row"), text_id().alias("text_id"), BitMap.of(rejected, "id").holds(text_id()).alias("marked"))
     clean = each.filter(~F.col("marked")).select("row.*")
     return clean.unionAll(each.filter("marked").join(rejected.hint("merge"), F.col("text_id") == F.col("id"), "left_anti").select("row.*"))

@@ -8,9 +8,14 @@ member, its id and its type. A record is copied in pieces, so that memory does n
 File names hold the number of the task attempt, and only the files that a successful attempt returns
 are read, so that a task which runs again, or twice at once, never mixes its files with the others'.
 
+Rows are decided on by their digests alone; of the payloads, only those are shuffled that a bit map of
+fixed size can't tell from revisits, and these are deflated first. A very long payload is written and
+normalised in pieces, but a row of a table and a record that is read back are whole in memory.
+
 Results: a null payload is an empty one; a null url is recorded as urn:page:<id>. Rows with equal
 page_id and payload are the same record and get the same result. Null page_ids come last: such a
-page revisits any page that has an id. An empty table gives no archives and an empty result.
+page revisits any page that has an id. An empty table gives no archives and an empty result. Columns
+other than page_id, url and html are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagelake.llm.common import scratch, shared_dir, written
+from passagelake.llm.common import BitMap, arrow_column, delete, forget, scratch, shared_dir, written
 
 #: Payloads from this many bytes on are recorded once and revisited.
 MIN_REVISIT = 100
@@ -103,22 +108,25 @@ def head(page_id, url: str | None, kind: str, refers_to, digest: str, size: int)
 
 
 def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
-    """Write records (page_id, url, html, record_type, refers_to, payload_digest) as monolithic .warc.gz files; returns their paths."""
+    """Write records (page_id, url, html, record_type, refers_to, payload_digest, payload_bytes) as monolithic .warc.gz files; returns their paths.
+
+    A revisit's html isn't looked at, and may be null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
         task = TaskContext.get()
         archive, names, used = None, [], 0
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(2)] + [b.column(2).cast(pa.binary()).to_pylist()] + [b.column(i).to_pylist() for i in range(3, 6)]
-            for page, url, html, kind, refers, digest in zip(*columns, strict=True):
+            columns = [b.column(i).to_pylist() for i in range(2)] + [b.column(2).cast(pa.binary()).to_pylist()] + [b.column(i).to_pylist() for i in range(3, 7)]
+            for page, url, html, kind, refers, digest, size in zip(*columns, strict=True):
                 payload = html or b""
                 if archive is None:
                     system.create_dir(base, recursive=True)
                     name = posixpath.join(base, f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc.gz")
                     archive, used = Archive(system.open_output_stream(name, compression=None), False), 0
                 archive.begin()
-                top = head(page, url, kind, refers, digest, len(payload))
+                top = head(page, url, kind, refers, digest, size)
                 archive.write(top)
                 if kind == "response":
                     archive.write(payload)
@@ -134,7 +142,7 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
             names.append(name)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
-    picked = records.select("page_id", "url", "html", "record_type", "refers_to", "payload_digest")
+    picked = records.select("page_id", "url", "html", "record_type", "refers_to", "payload_digest", "payload_bytes")
     return picked.mapInArrow(run, "archive string")
 
 
@@ -271,25 +279,61 @@ def read_records(files: DataFrame, with_payload: bool = False) -> DataFrame:
     return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
-def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to; one row for each different record."""
+def key_id(page_id: str = "page_id", digest: str = "payload_digest"):
+    """64-bit hash of a record's key."""
+    return F.xxhash64(page_id, digest)
+
+
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes and payload_digest of each row, without payloads; all else is decided on these."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    seen = pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest")).distinct()
-    seen = written(seen, "digests")
-    first = seen.filter(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id")).filter("first_id is not null")
-    joined = seen.join(first, "payload_digest", "left")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+
+
+def plan_records(seen: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """seen (see digests()) with record_type and refers_to.
+
+    The first ids are written before the join, so that a payload that many pages share is a skewed key that Spark splits.
+    """
+    first = seen.filter(F.col("payload_bytes") >= min_revisit).groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("first_id")).filter("first_id is not null")
+    joined = seen.join(written(first, "first").hint("merge"), F.col("payload_digest") == F.col("digest"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "payload_bytes", "payload_digest", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    return joined.select(*seen.columns, F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+
+
+def responses(pages: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of pages that are recorded with their payload: page_id, url, html, payload_bytes, payload_digest.
+
+    A bit map of fixed size knows most of them where they are read. Only rows that share a bit with
+    a revisit are shuffled, their payloads deflated; how many those are changes the cost, not the result.
+    """
+    row = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
+    row = row.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2("html", 256)})
+    keys = plan.select(key_id().alias("id"), "page_id", "payload_digest", "record_type")
+    marks = BitMap.of(keys.filter("record_type = 'revisit'"), "id")
+    marked = marks.holds(key_id())
+    unsure = keys.filter("record_type = 'response'").filter(marks.holds(F.col("id"))).select(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest")).distinct()
+    small = row.filter(marked).withColumn("html", arrow_column(lambda x: pa.array([zlib.compress(v, 6) for v in x.to_pylist()], pa.binary()), "binary")("html"))
+    found = small.join(unsure.hint("merge"), F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("payload_digest") == F.col("of_digest"))).select(*row.columns)
+    whole = found.withColumn("html", arrow_column(lambda x: pa.array([zlib.decompress(v) for v in x.to_pylist()], pa.binary()), "binary")("html"))
+    return row.filter(~marked).unionByName(whole)
 
 
 def archive(pages: DataFrame, *, min_revisit: int = MIN_REVISIT, with_payload: bool = False) -> DataFrame:
-    """Write the pages as monolithic archives, normalise those, and read all records back through the index."""
+    """Write the pages as monolithic archives, normalise those, and read all records back through the index.
+
+    The monolithic files go when the normalised ones are complete.
+    """
     spark = pages.sparkSession
-    plans = plan_records(pages, min_revisit).withColumnRenamed("page_id", "plan_id")
-    digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
-    whole = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", digest.alias("digest"))
-    records = whole.join(plans, whole["page_id"].eqNullSafe(plans["plan_id"]) & (whole["digest"] == plans["payload_digest"]))
+    seen = written(digests(pages), "digests")
+    plan = written(plan_records(seen, min_revisit), "plan")
+    forget(seen)
+    plain = responses(pages, plan).withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")})
+    again = plan.filter("record_type = 'revisit'").withColumn("html", F.lit(None).cast("binary"))
     folder = scratch(spark, "warc")
-    monolithic = written(write_monolithic(records, f"{folder}/monolithic"), "archives")
+    monolithic = written(write_monolithic(plain.unionByName(again), f"{folder}/monolithic"), "archives")
     files = written(normalise_files(monolithic.repartition(spark.sparkContext.defaultParallelism * 2), f"{folder}/members"), "members")
+    forget(monolithic)
+    forget(plan)
+    delete(spark, f"{folder}/monolithic")
     return read_records(files.repartition(spark.sparkContext.defaultParallelism * 2), with_payload)

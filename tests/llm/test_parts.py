@@ -98,3 +98,26 @@ def test_normaliser_rewrites_each_record_as_a_member():
 def z_cut(data: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
+
+
+def test_bit_map_holds_all_ids_and_few_others(spark):
+    from passagelake.llm.common import BitMap
+
+    ids = spark.range(1000).selectExpr("xxhash64(id) AS id")
+    marks = BitMap.of(ids, "id")
+    assert all(r["id"] in marks for r in ids.collect())
+    others = spark.range(1000, 101_000).selectExpr("xxhash64(id) AS id")
+    assert others.filter(marks.holds(others["id"])).count() < 100 and ids.filter(marks.holds(ids["id"])).count() == 1000
+    assert 5 not in BitMap.of(ids.limit(0), "id")
+
+
+def test_rows_that_share_a_bit_with_a_revisit_are_still_responses(spark, monkeypatch):
+    from passagelake.llm import common, warc
+
+    monkeypatch.setattr(common.BitMap, "BITS", 8)
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{'x' * 200}{i % 300}</p>") for i in range(400)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive(pages, with_payload=True).collect()}
+    assert len(got) == 400
+    for i, r in got.items():
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if i < 300 else ("revisit", i - 300))
+        assert r["payload"] == (f"<p>{'x' * 200}{i % 300}</p>".encode() if i < 300 else b"")
