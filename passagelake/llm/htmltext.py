@@ -13,9 +13,13 @@ adverts, forms and comments. They have a fixed size and are broadcast.
 
 Results: a null or empty page, or one without main text, gives an empty text. Character references
 are decoded, white space inside a block becomes one space, and blocks are joined by one newline in
-page order; nothing else is dropped or cut. Scripts, styles, comments and other text that is not
-shown are not blocks. Unclosed and wrongly nested tags are taken as a browser would where that is
-simple. Equal pages give equal texts. An empty table gives an empty result.
+page order; nothing else is dropped or cut. Scripts, styles, comments, the labels of buttons and other
+text that is not shown are not blocks; the text of formulas is. Unclosed and wrongly nested tags are
+taken as a browser would where that is simple: values in quotes may hold tags, a tag that never ends
+is left out, and scripts, styles, titles and text areas that never end hide the rest. Of other hidden
+elements that are never closed only the tag goes. A very long page is labelled in pieces through which
+the network's states are carried. Equal pages give equal texts, and a block whose odds are even is not
+main text. Columns other than the named ones are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,13 +46,17 @@ STEPS, TOGETHER = 1 << 14, 256
 
 # HTML element kinds.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-HIDDEN_TEXT = frozenset("script style title textarea noscript template iframe svg math object audio video canvas head".split())
+HIDDEN_TEXT = frozenset("script style title textarea noscript template iframe svg annotation annotation-xml object audio video canvas button head".split())
+#: Of these, those that hide all that follows if they are never closed; of the others the tag alone is left out then.
+RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = BLOCK - {"body", "html", "option", "select", "legend", "caption"}
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)", re.S)
+#: What follows a tag's name: names, and values after "=", which may hold anything between quotes. A quote that is never closed is part of its value.
+ATTRIBUTES = r"(?:[\s/]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[^\s/>=]++)*+"
+TAG = re.compile(rf"<(?:!--(?:-?>|.*?--!?>|.*\Z)|([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)|/([a-zA-Z][^\s/>]*+){ATTRIBUTES}(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 CLOSING = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in HIDDEN_TEXT}
@@ -69,6 +77,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     links, in_link, at = 0, False, 0
+    unclosed: set[str] = set()  # hidden elements that no later tag closes
     unescape = entities.unescape
 
     def flush() -> None:
@@ -100,13 +109,18 @@ def blocks(page: str | None) -> list[Block]:
         if name is not None:
             name = name.lower()
             if name in HIDDEN_TEXT:
-                if not m[2].endswith("/") or name in ("script", "style", "title", "textarea"):
+                if not m[2].endswith("/") or name in RAW:
                     if name == "head":
                         end = HEAD_ENDS.search(page, at)
                         position = at = at if end is None else end.start() if end[0][1] != "/" else end.end()
                     else:
-                        end = CLOSING[name].search(page, at)
-                        position = at = len(page) if end is None else end.end()
+                        end = None if name in unclosed else CLOSING[name].search(page, at)
+                        if end is not None:
+                            position = at = end.end()
+                        elif name in RAW:
+                            position = at = len(page)
+                        else:
+                            unclosed.add(name)
             elif name in BLOCK:
                 flush()
                 in_link = False
@@ -219,12 +233,11 @@ class Labeller:
         self.w["skip"] = np.zeros(INPUT, np.float32)
         self.w["bias"] = np.zeros(1, np.float32)
 
-    def pass_(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States of one direction; x is steps x pages x inputs."""
+    def pass_(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """States of one direction, from a state on, and the last; x is steps x pages x inputs."""
         n, m, _ = x.shape
         z_x = (x.reshape(n * m, -1) @ self.w[f"x{d}"] + self.w[f"c{d}"]).reshape(n, m, -1)
-        h = np.zeros((m, HIDDEN), np.float32)
-        c = np.zeros((m, HIDDEN), np.float32)
+        h, c = state or (np.zeros((m, HIDDEN), np.float32), np.zeros((m, HIDDEN), np.float32))
         out = np.zeros((n, m, HIDDEN), np.float32)
         tape = []
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
@@ -240,11 +253,11 @@ class Labeller:
             c = np.where(k, c_new, c)
             h = np.where(k, o * tanh, h)
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        f, tape_f = self.pass_(x, mask, "f", keep)
-        b, tape_b = self.pass_(x, mask, "b", keep)
+        f, tape_f, _ = self.pass_(x, mask, "f", keep)
+        b, tape_b, _ = self.pass_(x, mask, "b", keep)
         y = f @ self.w["of"] + b @ self.w["ob"] + x @ self.w["skip"] + self.w["bias"]
         return y, (f, b, tape_f, tape_b)
 
@@ -288,6 +301,22 @@ class Labeller:
         return out
 
 
+    def label_long(self, found: list[Block]) -> np.ndarray:
+        """The same for the blocks of one page of any length: of all its steps only the states of one direction are held."""
+        back, state = np.zeros((len(found), HIDDEN), np.float32), None
+        starts = range(0, len(found), STEPS)
+        pieces = lambda lo: (vectors(found[lo : lo + STEPS])[:, None], np.ones((min(STEPS, len(found) - lo), 1), bool))
+        for lo in reversed(starts):
+            h, _, state = self.pass_(*pieces(lo), "b", False, state)
+            back[lo : lo + STEPS] = h[:, 0]
+        main, state = np.zeros(len(found), bool), None
+        for lo in starts:
+            x, mask = pieces(lo)
+            h, _, state = self.pass_(x, mask, "f", False, state)
+            main[lo : lo + STEPS] = h[:, 0] @ self.w["of"] + back[lo : lo + STEPS] @ self.w["ob"] + x[:, 0] @ self.w["skip"] + self.w["bias"] > 0
+        return main
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = max(map(len, pages))
     x = np.zeros((n, len(pages), INPUT), np.float32)
@@ -505,7 +534,10 @@ def trained() -> Labeller:
 
 def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
     found = [blocks(p) for p in pages]
-    labels = net.label([vectors(f) for f in found])
+    labels = net.label([vectors(f) if len(f) <= STEPS else np.zeros((0, INPUT), np.float32) for f in found])
+    for i, f in enumerate(found):
+        if len(f) > STEPS:
+            labels[i] = net.label_long(f)
     return ["\n".join(b.text for b, main in zip(f, y, strict=True) if main) for f, y in zip(found, labels, strict=True)]
 
 

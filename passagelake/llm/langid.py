@@ -13,11 +13,13 @@ executors add them does not matter.
 Results: a null text, or one without letters, is `und` with score 0; so is every text if no
 labelled document has a letter. Equal texts get equal predictions; of equal cosines the language
 that sorts first wins. The score is the cosine, at least 0. An empty table gives an empty result.
-Memory: a vector of DIMENSIONS numbers for each different value of lang.
+A very long text is read to its end in pieces. Columns other than doc_id, text and lang are not looked
+at, whatever their names. Memory: a vector of DIMENSIONS numbers for each different value of lang.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -37,6 +39,8 @@ UNKNOWN = "und"
 SCAN = 2_000_000
 DENSE = 1 << 22
 
+NO_LETTER = re.compile(r"\W")
+
 _LETTER = np.full(0x110000, -1, np.int32)
 _VECTORS: dict[int, np.ndarray] = {}
 
@@ -59,13 +63,26 @@ def vector(letter: int) -> np.ndarray:
 
 
 def parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about SCAN characters."""
+    """Runs of texts of about SCAN characters; a longer text is a run of its own."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SCAN or i == len(texts) - 1:
-            yield first, i + 1
-            first, size = i + 1, 0
+        n = len(t or "")
+        if i > first and size + n > SCAN:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text of over SCAN characters in pieces that end after a character that is no letter, so that n-grams stay whole."""
+    at = 0
+    while at < len(text):
+        found = NO_LETTER.search(text, at + SCAN)
+        end = len(text) if found is None else found.end()
+        yield text[at:end]
+        at = end
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +129,19 @@ def bound(triples: np.ndarray) -> np.ndarray:
 
 
 def bundles(texts: list[str | None], groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Bundle of each text (or of each group of texts), and each text's number of letters."""
+    """Bundle of each text (or of each group of texts), and each text's number of letters; a long text alone is taken in pieces."""
+    if len(texts) == 1 and len(texts[0] or "") > SCAN:
+        found = ((v.astype(np.float64), n) for v, n in map(bundle, pieces(texts[0])))
+        out, n_letters = next(found)
+        for v, n in found:
+            out += v
+            n_letters = n_letters + n
+        return out, n_letters
+    return bundle(texts, groups)
+
+
+def bundle(texts: list[str | None] | str, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    texts = [texts] if isinstance(texts, str) else texts
     owner, index, triples, n_letters = trigrams(texts)
     rows = len(texts) if groups is None else int(groups.max(initial=-1)) + 1
     owner = owner if groups is None else groups[owner]

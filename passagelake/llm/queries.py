@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +73,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=["doc_id"], with_ids=False)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py, which stands beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -86,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_warc_normaliser": op9_warc_normaliser,
         "op10_byte_bpe": op10_byte_bpe,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
@@ -106,17 +112,12 @@ def op1_sql() -> str:
         "same_ratio": "n_same / greatest(n_words, 1)",
     }
     left = lambda kind: f"CAST(length(regexp_replace(joined, '[^{kind}]', '', 'g')) AS BIGINT)"
-    stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS x FROM r WHERE NOT base_failed" for m in quality.METRICS)
-
-    def level(keys: list[str], i: int) -> str:
-        by = ", ".join([*keys, "metric"])
-        at = lambda q: f"min(CASE WHEN upto >= ceil(total * {q}) THEN coalesce(2 * pow({growth!r}, bucket) / ({growth!r} + 1), 0.0) END)"
-        return f"""s{i} AS (SELECT {by}, bucket, sum(n) AS n FROM b GROUP BY {by}, bucket),
-u{i} AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM s{i}),
-q{i} AS (SELECT {by}, max(total) AS total, {at(0.25)} AS q1, {at(0.75)} AS q3 FROM u{i} GROUP BY {by})"""
-
-    used = lambda c: f"CASE WHEN q0.total >= {quality.MIN_GROUP} THEN q0.{c} WHEN q1.total >= {quality.MIN_GROUP} THEN q1.{c} ELSE q2.{c} END"
-    limits = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {f'q1 - {quality.FENCE} * greatest(q3 - q1, {least})' if below else '-1.0'} END) AS {m}_low, max(CASE WHEN metric = '{m}' THEN q3 + {quality.FENCE} * greatest(q3 - q1, {least}) END) AS {m}_high" for m, (least, below) in quality.METRICS.items())
+    stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST({m} AS DOUBLE) AS x FROM r WHERE NOT base_failed" for m in (*quality.METRICS, *quality.SIZES))
+    lend = quality.MIN_GROUP * quality.PARTS
+    at = lambda i: f"min(CASE WHEN 4 * upto >= {i} * total THEN coalesce(2 * pow({growth!r}, bucket) / ({growth!r} + 1), 0.0) END) AS q{i}"
+    of = lambda name, q: f"max(CASE WHEN metric = '{name}' THEN {q} END)"
+    reach = {m: f"{quality.FENCE} * greatest({of(m, 'q3')} - {of(m, 'q1')}, {step} / greatest({of(size, 'q2')}, 1.0))" for m, (step, size, _) in quality.METRICS.items()}
+    limits = ", ".join(f"{f'{of(m, "q1")} - {reach[m]}' if below else '-1.0'} AS {m}_low, {of(m, 'q3')} + {reach[m]} AS {m}_high" for m, (_, _, below) in quality.METRICS.items())
     outside = ", ".join(f"CASE WHEN {m} < {m}_low OR {m} > {m}_high THEN '{m}' END" for m in quality.METRICS)
     return f"""WITH w AS (
   SELECT row_number() OVER () AS id, doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '{word}+') AS words,
@@ -130,8 +131,14 @@ c AS (SELECT j.*, CAST(len(words) AS BIGINT) AS n_words, CAST(length(joined) AS
   len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_same FROM j LEFT JOIN rep USING (id)),
 r AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed, {', '.join(f'{x} AS {m}' for m, x in ratios.items())} FROM c),
 m AS ({stacked}), b AS (SELECT lang, source, metric, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / {math.log(growth)!r}) AS INTEGER) END AS bucket, count(*) AS n FROM m GROUP BY ALL),
-{level(['lang', 'source'], 0)}, {level(['lang'], 1)}, {level([], 2)},
-f AS (SELECT q0.lang, q0.source, q0.metric, {used('q1')} AS q1, {used('q3')} AS q3 FROM q0 LEFT JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.metric = q1.metric LEFT JOIN q2 ON q0.metric = q2.metric),
+b0 AS (SELECT metric, bucket, sum(n) * {quality.PARTS} AS n FROM b GROUP BY ALL),
+p0 AS (SELECT metric, bucket, n * {lend} // sum(n) OVER (PARTITION BY metric) AS n FROM b0),
+b1 AS (SELECT lang, metric, bucket, sum(n) AS n FROM (SELECT lang, metric, bucket, n * {quality.PARTS} AS n FROM b UNION ALL SELECT lang, metric, bucket, n FROM (SELECT DISTINCT lang, metric FROM b) JOIN p0 USING (metric)) GROUP BY ALL),
+p1 AS (SELECT lang, metric, bucket, n * {lend} // sum(n) OVER (PARTITION BY lang, metric) AS n FROM b1),
+b2 AS (SELECT lang, source, metric, bucket, sum(n) AS n FROM (SELECT lang, source, metric, bucket, n * {quality.PARTS} AS n FROM b UNION ALL
+  SELECT g.lang, source, g.metric, bucket, n FROM (SELECT DISTINCT lang, source, metric FROM b) g JOIN p1 ON g.lang IS NOT DISTINCT FROM p1.lang AND g.metric = p1.metric) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM b2),
+f AS (SELECT lang, source, metric, {at(1)}, {at(2)}, {at(3)} FROM u GROUP BY lang, source, metric),
 l AS (SELECT lang, source, {limits} FROM f GROUP BY lang, source),
 o AS (SELECT r.*, array_to_string(list_filter([{outside}], lambda x: x IS NOT NULL), ',') AS outside FROM r LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM o"""

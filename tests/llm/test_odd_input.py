@@ -79,7 +79,8 @@ def test_pipeline_stages_on_odd_documents(spark, odd, empty, labels, tmp_path):
         for name, stage in C.STAGES[:-1]:
             path = f"{tmp_path}/{name}-{docs is odd}"
             out = stage(spark, docs, str(tmp_path))
-            assert out.columns == docs.columns, name
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+            assert {r[n] for r in out.select(*NAMES).collect() for n in NAMES} <= {"clash"}, name
             out.write.mode("overwrite").parquet(path)
             docs = spark.read.parquet(path)
         assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
@@ -113,3 +114,37 @@ def test_character_references_and_white_space():
     net = htmltext.trained()
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>Some  text\n here&nbsp;&eacute;. And more text follows it.<p>More text of the article stands here.<br>On.</article><footer>&copy; x</footer></body></html>"
     assert htmltext.main_texts([page], net) == ["A & B\nSome text here é. And more text follows it.\nMore text of the article stands here. On."]
+
+
+def test_html_as_browsers_read_it():
+    read = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert read('<p title="1<2">Hello there</p>') == ["Hello there"]
+    assert read("<p data-x='<b>' class=\"a>b\">in</p>") == ["in"]
+    assert read('One <svg viewBox="0"></p><p>Two</p>') == read("<p>One <video src=x><p>Two") == read("<p>One<iframe src=x><canvas><object><p>Two") == ["One", "Two"]
+    assert read("<p>Let <math><mi>x</mi></math> be</p>") == ["Let x be"]
+    assert read("<p>Text <button>Share</button> more</p>") == ["Text more"]
+    assert read("<p>unclosed <b <a href='x") == ["unclosed"]
+    assert read("<!--><p>x</p><!-- y --!><p>z") == ["x", "z"]
+    assert read('<p a="x>y</p><p>z</p>') == ["y", "z"]
+    assert read("a < b and 2<3") == ["a < b and 2<3"]
+    assert read("<p>a</p><script>if (a<b) { '</p>' }</script><p>c") == ["a", "c"]
+
+
+def test_long_pages_are_labelled_in_pieces(monkeypatch):
+    net = htmltext.trained()
+    page = "<nav><a href=x>Home</a></nav><article>" + "".join(f"<p>Paragraph {i} of a long page, with words.</p>" for i in range(300)) + "</article><footer>&copy; x</footer>"
+    whole = htmltext.main_texts([page, "<p>x"], net)
+    monkeypatch.setattr(htmltext, "STEPS", 64)
+    assert htmltext.main_texts([page, "<p>x"], net) == whole and whole[0].count("\n") == 299
+
+
+def test_long_texts_are_bundled_in_pieces(monkeypatch):
+    import numpy as np
+
+    text = "Ein langer Text, mit Wörtern; und mehr 12 davon. " * 200
+    whole, n = langid.bundles([text])
+    monkeypatch.setattr(langid, "SCAN", 500)
+    assert [*langid.parts(["a" * 300, "b" * 300, text, None, "c"])] == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    assert "".join(langid.pieces(text)) == text and len([*langid.pieces(text)]) > 10
+    cut, m = langid.bundles([text])
+    assert np.array_equal(whole, cut) and n == m
