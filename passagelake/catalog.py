@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from passagelake import audit
+from passagelake import audit, report
 from passagelake import search as S
 from passagelake.embedding import HashingEmbedder, embedded
 from passagelake.functions import links, markdown, numbers, screen, tokens
@@ -22,7 +22,7 @@ from passagelake.operators import postings as P
 from passagelake.operators import vectors as V
 from passagelake.plans import diff
 from passagelake.session import checkpointed, ship
-from passagelake.text.chunking import simple_count
+from passagelake.text.chunking import Settings, section_words, shown_aliases, simple_count
 from passagelake.text.packing import Unit, pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_row(df: DataFrame, fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """The rows that a plain function gives for each row, one Arrow batch at a time."""
+    import pandas as pd
+
+    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([y for r in f.itertuples(index=False) for y in fn(r)], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
 def score6(c: str) -> F.Column:
     return F.round(F.col(c), 6)
 
@@ -191,17 +204,17 @@ def reading_counts(spark, sf_dir):
 
 
 VECTOR_SQL = """
-q AS (SELECT CAST(vec_id AS INTEGER) AS wording, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id < 3),
+q AS (SELECT CAST(vec_id AS INTEGER) AS wording, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 50 = 0),
 c AS (SELECT wording, vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], query), 6) AS score FROM embeddings CROSS JOIN q),
 h AS (SELECT *, row_number() OVER (PARTITION BY wording ORDER BY score DESC, vec_id) AS rank FROM c)"""
 
 
 def nearest(spark, sf_dir, k: int) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("wording"), F.col("embedding").alias("query"))
-    by = W.partitionBy("wording").orderBy(F.desc("score"), "vec_id")
-    x = V.scored(e.select("vec_id", "label", "embedding"), q, "embedding").select("wording", "vec_id", "label", score6("score").alias("score"))
-    return x.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    """The k best vectors for every fiftieth one, over all vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("wording"), F.col("embedding").alias("query"))
+    found = V.top_k_blocks(e, asked, k, "vec_id", "embedding", digits=6)
+    return found.join(e.select("vec_id", "label"), "vec_id").select("wording", "vec_id", "label", "score", "rank")
 
 
 @query(f"WITH {VECTOR_SQL} SELECT wording, vec_id, score, rank FROM h WHERE rank <= 20")
@@ -390,16 +403,21 @@ def spot_check(spark, sf_dir):
     return e.join(F.broadcast(places), "place", "left_semi").select("vec_id", "place")
 
 
-@query("""WITH b AS (SELECT doc_id FROM documents WHERE doc_id % 97 <> 0)
-SELECT 'disk-matches-manifest' AS name, count(*) = 0 AS ok, CAST(count(*) AS VARCHAR) AS detail FROM documents WHERE doc_id % 97 = 0
-UNION ALL SELECT 'passages-match', count(*) = 0, CAST(count(*) AS VARCHAR) FROM (SELECT source, count(*) n FROM documents GROUP BY source) a JOIN (SELECT source, count(*) n FROM documents WHERE doc_id % 97 <> 0 GROUP BY source) c USING (source) WHERE a.n <> c.n
-UNION ALL SELECT 'no-old-text', count(*) = 0, CAST(count(*) AS VARCHAR) FROM b ANTI JOIN documents USING (doc_id)""")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'added' WHEN doc_id % 83 = 0 THEN 'gone' WHEN doc_id % 71 = 0 THEN 'skipped' WHEN doc_id % 67 = 0 THEN 'updated' ELSE 'unchanged' END AS action,
+  doc_id % 97 <> 0 AS listed, CASE WHEN doc_id % 97 = 0 THEN doc_id % 5 = 0 ELSE doc_id % 61 <> 0 END AS held FROM documents),
+c(name, n) AS (SELECT 'disk-matches-manifest', count(*) FROM d WHERE (action IN ('unchanged', 'updated', 'added')) <> listed
+  UNION ALL SELECT 'nothing-pending', count(*) FROM d WHERE action IN ('added', 'updated', 'gone') UNION ALL SELECT 'nothing-skipped', count(*) FROM d WHERE action = 'skipped'
+  UNION ALL SELECT 'passages-match', count(*) FROM d WHERE listed <> held UNION ALL SELECT 'engine-current', count(*) FROM d WHERE held AND doc_id % 53 = 0
+  UNION ALL SELECT 'exact-words-match', count(*) FROM d WHERE held AND doc_id % 47 = 0 UNION ALL SELECT 'no-old-text', count(*) FROM d WHERE held AND NOT listed)
+SELECT name, n = 0 AS ok, CAST(n AS VARCHAR) AS detail FROM c UNION ALL SELECT 'counts-add-up', false, concat(count(*), '/', count(*)) FROM d WHERE listed UNION ALL SELECT 'versions-match', true, 'now'""")
 def status_checks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    indexed = d.filter("doc_id % 97 <> 0")
-    notes = d.groupBy(F.col("source").alias("key")).agg(F.count("*").alias("passages"))
-    checks = [audit._none("disk-matches-manifest", d.join(indexed, "doc_id", "left_anti")), audit._none("passages-match", audit.passages_match(notes, indexed.select(F.col("source").alias("key")))), audit._none("no-old-text", indexed.join(d, "doc_id", "left_anti"))]
-    return checks[0].unionByName(checks[1]).unionByName(checks[2])
+    """The nine checks over an index of documents that has faults of each kind."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.lit(0).alias("n"), F.lit(1).cast("long").alias("passages"))
+    action = F.when(F.expr("doc_id % 97 = 0"), "added").when(F.expr("doc_id % 83 = 0"), "gone").when(F.expr("doc_id % 71 = 0"), "skipped").when(F.expr("doc_id % 67 = 0"), "updated").otherwise("unchanged")
+    notes, held = d.filter("doc_id % 97 <> 0"), d.filter("CASE WHEN doc_id % 97 = 0 THEN doc_id % 5 = 0 ELSE doc_id % 61 <> 0 END")
+    listed = notes.count()
+    meta = {"notes": listed, "passages": listed + 1, "settings_hash": "now"}
+    return audit.status(d.select("key", action.alias("action")), notes.select("key", "passages"), held.select("key", "n"), held.filter("doc_id % 53 <> 0").select("key", "n"), held, held.filter("doc_id % 47 <> 0").select("key", "n"), meta, "now")
 
 
 # Lines of documents with Markdown put in front or behind.
@@ -536,15 +554,19 @@ def progress_eta(spark, sf_dir):
     d = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))
     w = W.orderBy("day")
     r = d.select(F.sum("n").over(w).alias("done"), F.sum("n").over(W.partitionBy()).alias("total"), F.row_number().over(w).alias("elapsed"))
-    return r.select("done", F.floor(F.col("done") / F.col("total") * 100).alias("percent"), F.floor((F.col("total") - F.col("done")) / (F.col("done") / F.col("elapsed")) + 0.5).alias("eta"))
 
+    def run(row) -> list[tuple]:
+        told = report.progress(row.done, row.total, row.elapsed)
+        return [(row.done, told["percent"], told["eta"])]
+
+    return by_row(r, run, "done long, percent long, eta long")
 
-@query("""SELECT doc_id, n_chars > 8000 AS giant, row_number() OVER (ORDER BY n_chars > 8000, doc_id % 100 DESC, doc_id) AS place FROM documents ORDER BY 3 LIMIT 50""")
+
+@query("""SELECT doc_id, n_chars > 8000 AS giant, row_number() OVER (ORDER BY n_chars > 8000, doc_id % 100 DESC, doc_id) AS place FROM documents""")
 def embed_order(spark, sf_dir):
-    """The first fifty to embed: giants last, then the newest, then by key."""
-    order = [F.col("giant"), F.col("age").desc(), F.col("doc_id")]
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 8000).alias("giant"), (F.col("doc_id") % 100).alias("age"))
-    return d.orderBy(*order).limit(50).select("doc_id", "giant", F.row_number().over(W.orderBy(*order)).cast("long").alias("place"))
+    """The order in which all notes are embedded: giants last, then the newest, then by key."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 8000).alias("giant"), (F.col("doc_id") % 100).alias("age"), F.lit(1).cast("long").alias("one"))
+    return ordered.running_total(d, [F.col("giant"), F.col("age").desc(), F.col("doc_id")], "one").select("doc_id", "giant", (F.col("before") + 1).alias("place"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 50 = 1 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 50 = 2")
@@ -639,13 +661,12 @@ def racy_notes(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT source, count(*) AS passages FROM documents GROUP BY source), r AS (SELECT source, sum(passages) OVER (ORDER BY source) - passages AS first, sum(passages) OVER (ORDER BY source) AS next FROM n),
-p AS (SELECT i * 37 AS place FROM range(0, 20) t(i)) SELECT place, source, CAST(place - first AS BIGINT) AS n FROM p JOIN r ON place >= first AND place < next""")
+p AS (SELECT i * 7 AS place FROM range(0, (SELECT count(*) FROM documents)) t(i)) SELECT place, source, CAST(place - first AS BIGINT) AS n FROM p JOIN r ON place >= first AND place < next""")
 def position_to_note(spark, sf_dir):
-    """Positions in the concatenation of all notes to the note and the passage in it: a range join."""
+    """Every seventh position in the concatenation of all notes, with the note and the passage in it."""
     n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("passages"))
-    r = ordered.running_total(n, [F.col("source")], "passages", "first")
-    p = spark.range(20).select((F.col("id") * 37).alias("place"))
-    return r.join(F.broadcast(p), (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("passages"))).select("place", "source", (F.col("place") - F.col("first")).alias("n"))
+    first = ordered.running_total(n, [F.col("source")], "passages", "first")
+    return ordered.every(first, "first", "passages", 7).select("place", "source", (F.col("place") - F.col("first")).alias("n"))
 
 
 @query(f"WITH {BASE_SQL} SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM t ORDER BY len(toks) DESC, doc_id LIMIT 200")
@@ -675,23 +696,25 @@ def path_parts(spark, sf_dir):
 @query("""SELECT doc_id, array_to_string(list_filter([source, lang, concat('a/', lang), upper(source)], lambda a: lower(a) <> source AND NOT contains(a, '/')), ',') AS aliases FROM documents""")
 def alias_filter(spark, sf_dir):
     """Aliases that are not the title in another case, and hold no slash."""
-    given = F.array("source", "lang", F.concat(F.lit("a/"), "lang"), F.upper("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(given, lambda a: (F.lower(a) != F.lower("source")) & ~F.contains(a, F.lit("/"))), ",").alias("aliases"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return by_row(d, lambda r: [(r.doc_id, ",".join(shown_aliases([r.source, r.lang, f"a/{r.lang}", r.source.upper()], r.source)))], "doc_id long, aliases string")
 
 
 @query(f"""WITH {LINES_SQL}, w AS (SELECT doc_id, pos, CAST(len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM lines)
 SELECT doc_id, count(*) AS sections, CAST(sum(words) AS BIGINT) AS words FROM w WHERE words >= 3 GROUP BY doc_id""")
 def min_words_filter(spark, sf_dir):
     """Lines as sections: those under three words are left out."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    w = d.select("doc_id", links.count_words(F.col("line")).cast("long").alias("words")).filter("words >= 3")
-    return w.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum("words").alias("words"))
+
+    def run(r) -> list[tuple]:
+        counts = [section_words([Unit(x, 0)]) for x in r.text.split("\n")]
+        kept = [n for n in counts if n >= Settings().min_words]
+        return [(r.doc_id, len(kept), sum(kept))] if kept else []
+
+    return by_row(table(spark, sf_dir, "documents").select("doc_id", "text"), run, "doc_id long, sections long, words long")
 
 
-@query("""WITH s AS (SELECT *, date_trunc('hour', ts) AS batch FROM events), c AS (SELECT batch, count(*) AS n FROM s GROUP BY batch)
-SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS batches, CAST(max(n) AS BIGINT) AS largest, greatest(8, least(128, CAST(floor(max(n) / 3600.0 * 5 + 0.5) AS BIGINT))) AS request_size FROM c""")
+@query("""SELECT date_trunc('hour', ts) AS batch, count(*) AS n, greatest(8, least(128, CAST(floor(count(*) / 3600.0 * 5 + 0.5) AS BIGINT))) AS request_size FROM events GROUP BY 1""")
 def batch_sizes(spark, sf_dir):
-    """Events by the hour as batches, and the size of request that the busiest hour's rate asks for."""
+    """Events of each hour, and the size of request that the hour's rate asks for."""
     c = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("batch")).agg(F.count("*").alias("n"))
-    size = F.greatest(F.lit(8).cast("long"), F.least(F.lit(128).cast("long"), F.floor(F.max("n") / 3600.0 * 5 + 0.5)))
-    return c.agg(F.sum("n").alias("events"), F.count("*").alias("batches"), F.max("n").alias("largest"), size.alias("request_size"))
+    return by_row(c, lambda r: [(r.batch, r.n, report.request_size(r.n / 3600))], c.schema["batch"].dataType.simpleString().join(["batch ", ", n long, request_size long"]))

@@ -23,6 +23,16 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str = "b
     return ranged.withColumn("_within", within).join(F.broadcast(offsets), F.col("_range") == F.col("_of")).withColumn(name, F.col("_within") + F.col("_offset")).drop("_range", "_of", "_within", "_offset")
 
 
+def every(df: DataFrame, first: str, size: str, step: int, name: str = "place") -> DataFrame:
+    """A row for each place divisible by step among the size places that a row takes from first on.
+
+    Each row makes its own places, so that looking up many places is no join at all.
+    """
+    least = (F.ceil(F.col(first) / step) * step).cast("long")
+    most = (F.col(first) + F.col(size) - 1).cast("long")
+    return df.withColumn(name, F.explode(F.when(least <= most, F.sequence(least, most, F.lit(step).cast("long")))))
+
+
 def last_record_wins(log: DataFrame, key: str, order: str, op: str, put: str = "put") -> DataFrame:
     """The live record of each key: its last one, if that is a put. An aggregate, not a sort of each key's history."""
     last = log.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), order).alias("last"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str, vector: str =
     return scored(vectors, queries, vector).select("wording", id, "score").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def top_k_batched(vectors: DataFrame, queries: list[list[float]], k: int, id: str, vector: str = "vector") -> DataFrame:
-    """top_k() for many queries over many vectors: one matrix product for each Arrow batch, k rows kept for each query and task."""
+def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int, id: str, vector: str = "vector", digits: int | None = None, block: int = 2000) -> DataFrame:
+    """top_k_batched() for any number of queries (wording, query), a block of them at a time over all vectors."""
+    out, held = [], []
+
+    def search() -> None:
+        names = F.array(*[F.lit(r["wording"]) for r in held])
+        found = top_k_batched(vectors, [r["query"] for r in held], k, id, vector, digits)
+        out.append(found.withColumn("wording", F.get(names, F.col("wording"))))
+        held.clear()
+
+    for r in queries.orderBy("wording").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            search()
+    if held:
+        search()
+    if not out:
+        wording = queries.schema["wording"].dataType
+        return vectors.limit(0).select(F.lit(None).cast(wording).alias("wording"), id, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def top_k_batched(vectors: DataFrame, queries: list[list[float]], k: int, id: str, vector: str = "vector", digits: int | None = None) -> DataFrame:
+    """top_k() for many queries over many vectors: one matrix product for each Arrow batch, k rows kept for each query and task.
+
+    With digits, scores are rounded before they are ranked.
+    """
     if len(queries) > MOST_QUERIES:
         raise ValueError(f"at most {MOST_QUERIES} queries at once")
     q = np.array(queries, float).reshape(len(queries), -1)
@@ -49,6 +75,7 @@ def top_k_batched(vectors: DataFrame, queries: list[list[float]], k: int, id: st
             v = whole.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(whole.num_rows, -1)
             n = np.linalg.norm(v, axis=1, keepdims=True)
             s = q @ (v / np.where(n == 0, 1, n)).T
+            s = s if digits is None else np.round(s, digits)
             # All that ties with the k-th score stays, so that the id decides in the end.
             least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
             w, i = np.nonzero(s >= least[:, None])

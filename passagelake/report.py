@@ -44,6 +44,12 @@ def reading_line(passages: int, words: int, notes: int, note_words: int) -> str:
     return f"Returned about {two_figures(words)} {'word' if words == 1 else 'words'} in {plural(passages, 'passage')}, from {plural(notes, 'note')} that {hold} about {two_figures(note_words)} {'word' if note_words == 1 else 'words'}."
 
 
+def progress(done: int, total: int, spent: float) -> dict:
+    """Percent done, rate and time left, rounded half up."""
+    rate = done / spent if spent > 0 and done else None
+    return {"percent": math.floor(done / total * 100) if total else 100, "rate": rate, "eta": None if rate is None else math.floor((total - done) / rate + 0.5)}
+
+
 class Progress:
     """Done, rate and time left of a run, kept in a file that tells who writes it."""
 
@@ -51,9 +57,7 @@ class Progress:
         self.path, self.total, self.clock, self.began = path, total, clock, clock()
 
     def at(self, done: int) -> dict:
-        spent = self.clock() - self.began
-        rate = done / spent if spent > 0 and done else None
-        return {"pid": os.getpid(), "done": done, "total": self.total, "percent": math.floor(done / self.total * 100) if self.total else 100, "rate": rate, "eta": None if rate is None else round((self.total - done) / rate)}
+        return {"pid": os.getpid(), "done": done, "total": self.total, **progress(done, self.total, self.clock() - self.began)}
 
     def save(self, done: int) -> None:
         config.write_atomic(self.path, json.dumps(self.at(done)))

@@ -94,6 +94,15 @@ def alias_part(aliases: list[str], count: Callable[[str], int]) -> str:
     return fitting
 
 
+def shown_aliases(aliases: list[str], title: str) -> list[str]:
+    """Aliases that are not the title in another case, and hold no slash."""
+    return [a for a in aliases if a.lower() != title.lower() and "/" not in a]
+
+
+def section_words(units: list[Unit]) -> int:
+    return sum(len(word_list(u.text)) for u in units)
+
+
 def chunk(content: bytes, key: str, settings: Settings = Settings(), folder_in_prefix: bool = False) -> Note:
     count = settings.count
     lines = decode(content)
@@ -105,12 +114,12 @@ def chunk(content: bytes, key: str, settings: Settings = Settings(), folder_in_p
         return note
     parts, recovered = sections(lines, found.body_start, settings.drop_fences)
     repeats = Counter(trim(s.heads[-1]).lower() for s in parts if s.heads)
-    alias = alias_part([a for a in found.aliases if a.lower() != title.lower() and "/" not in a], count)
+    alias = alias_part(shown_aliases(found.aliases, title), count)
     folder = folders[-1] if folder_in_prefix and folders else None
     for section in parts:
         shown = [((x.text.rstrip(SPACES) or None) if x.code else clean_line(x.text), x.number) for x in strip_comments(section.lines)]
         units = [Unit(text, number) for text, number in shown if text]
-        if sum(len(word_list(u.text)) for u in units) < settings.min_words:
+        if section_words(units) < settings.min_words:
             continue
         trail = [t for t in (" ".join(word_list(clean_inline(h))) for h in section.heads) if t]
         if trail and trail[0].lower() == title.lower():
