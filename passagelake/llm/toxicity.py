@@ -23,8 +23,10 @@ words mostly, on which the classes differ by topic, language and chance. Evidenc
 isotonic regression over labelled texts that the counts have not seen.
 
 The counts are a table of all beginnings that grows with the labelled texts. The different words of
-the texts are merged with it in one sorted stream, in which a word's deepest known beginning is the
-last one before it; the memory that this takes is that of one word's beginnings.
+the texts are merged with it in sorted streams, one for all that begins with the same GROUP bytes, in
+which a word's deepest known beginning is the last one before it; the memory that this takes is that
+of one word's beginnings. What several streams share, the beginnings of up to two bytes, is broadcast
+(at most 2^16 rows), and the longer ones are joined to each stream.
 
 Results: null and empty texts, texts without letters, have evidence 0. Equal texts get equal scores,
 and count once in learning, toxic if any is; ties and repeated rows change nothing. A very long text
@@ -71,6 +73,8 @@ WORD = re.compile(r"[^\W_]{1,32}")
 #: Letters of scripts that are written without spaces.
 UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF))) + "]")
 PIECE = 4
+#: Bytes that the words of one sorted stream begin with: more make finer streams.
+GROUP = 4
 END = b"\0"
 
 
@@ -107,9 +111,20 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 50_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
-def by_prefix(spelled: DataFrame, *order: str) -> DataFrame:
-    """All that begins with the same two bytes in one sorted stream."""
-    return spelled.repartition(F.substring("spelled", 1, 2)).sortWithinPartitions("spelled", *order)
+def group_of(spelled: str = "spelled"):
+    """The first GROUP bytes: what begins so is read as one sorted stream."""
+    return F.substring(spelled, 1, GROUP)
+
+
+def streams(rows: DataFrame, *order: str) -> DataFrame:
+    """rows (group, spelled, ...) in sorted streams, none of them split between tasks."""
+    return rows.repartition("group").sortWithinPartitions("spelled", *order).drop("group")
+
+
+def shorter(beginnings: DataFrame, size: int) -> DataFrame:
+    """The beginnings of size bytes that those of one byte more extend."""
+    held = lambda c: F.count_if(F.col(c) > 0)
+    return beginnings.groupBy(F.substring("spelled", 1, size).alias("spelled")).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), held("ordinary").alias("kinds_ordinary"), held("toxic").alias("kinds_toxic"), F.count("*").alias("kinds"))
 
 
 def count(texts: DataFrame) -> DataFrame:
@@ -131,16 +146,16 @@ def count(texts: DataFrame) -> DataFrame:
         release()
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        word, open_ = b"", []  # of each beginning of the word from two bytes on: ordinary, toxic, kinds of each class, kinds
+        word, open_ = b"", []  # of each beginning of the word from GROUP bytes on, and of a shorter word: ordinary, toxic, kinds of each class, kinds
         for next_, ordinary, toxic in rows_of(batches):
             if next_ != word:
-                shared = max(1, common(word, next_))
+                shared = common(word, next_)
                 yield from closed(word, open_, shared)
-                open_ += [[0, 0, 0, 0, 0] for _ in range(len(next_) - shared)]
+                open_ += [[0, 0, 0, 0, 0] for _ in range(len(next_) - max(shared, least(next_)))]
                 word = next_
             open_[-1][0] += ordinary
             open_[-1][1] += toxic
-        yield from closed(word, open_, 1)
+        yield from closed(word, open_, 0)
 
     schema = pa.schema([("spelled", pa.binary())] + [(c, pa.int64()) for c in STATS])
 
@@ -149,7 +164,15 @@ def count(texts: DataFrame) -> DataFrame:
         release()
 
     found = texts.select("text", F.col("toxic").cast("int")).mapInArrow(counted, "spelled binary, ordinary long, toxic long")
-    return by_prefix(found).mapInArrow(run, "spelled binary, " + ", ".join(f"{c} long" for c in STATS))
+    counted_ = streams(found.withColumn("group", group_of())).mapInArrow(run, "spelled binary, " + ", ".join(f"{c} long" for c in STATS))
+    longer = written(counted_, "beginnings")
+    size = F.octet_length("spelled")
+    whole = longer
+    for n in range(GROUP - 1, 1, -1):
+        whole = whole.unionByName(shorter(whole.filter(size == n + 1), n))
+    out = written(whole, "beginnings")
+    forget(longer)
+    return out
 
 
 STATS = ("ordinary", "toxic", "kinds_ordinary", "kinds_toxic", "kinds")
@@ -165,9 +188,14 @@ def common(a: bytes, b: bytes) -> int:
     return n
 
 
+def least(word: bytes) -> int:
+    """Bytes of the longest beginning that several streams may share."""
+    return min(GROUP, len(word)) - 1
+
+
 def closed(word: bytes, open_: list[list[int]], keep: int) -> Iterator[tuple]:
     """Closes the beginnings of a word that are longer than keep, and adds them to those that they extend."""
-    for size in range(len(word), keep, -1):
+    for size in range(len(word), max(keep, least(word)), -1):
         s = open_.pop()
         if open_:
             add(open_[-1], s)
@@ -277,11 +305,13 @@ def telling_words(texts: DataFrame, model: Model) -> DataFrame:
             while path and not spelled.startswith(path[-1][0]):
                 path.pop()
             if not is_word:
+                if path and path[-1][0] == spelled:  # several groups of this task begin so
+                    continue
                 parent = path[-1][1] if path else known.top[spelled[:-1]]
                 path.append((spelled, (known.longer(parent, spelled, s[0], s[1]), *s)))
             elif spelled != word:
                 word = spelled
-                deepest, stats = path[-1] if path else (b"", known.top.get(spelled[:1], known.top[b""]))
+                deepest, stats = path[-1] if path else next((b, known.top[b]) for b in (spelled[:2], spelled[:1], b"") if b in known.top)
                 over = (stats[0] if deepest == spelled else known.unseen(stats)) - MARGIN
                 if over > 0:
                     yield word_id(spelled), round(over * UNIT)
@@ -291,8 +321,17 @@ def telling_words(texts: DataFrame, model: Model) -> DataFrame:
         release()
 
     nothing = [F.lit(0).cast("long").alias(c) for c in STATS]
-    both = model.beginnings.select("spelled", F.lit(False).alias("is_word"), *STATS).unionByName(distinct_words(texts).select("spelled", F.lit(True).alias("is_word"), *nothing))
-    return by_prefix(both, "is_word").mapInArrow(run, "word long, over long")
+    size = F.octet_length("spelled")
+    found = written(distinct_words(texts), "words")
+    seen = model.beginnings.filter(size >= GROUP - 1)  # the shorter ones are in known.top
+    both = seen.select("spelled", F.lit(False).alias("is_word"), *STATS).unionByName(found.select("spelled", F.lit(True).alias("is_word"), *nothing)).withColumn("group", group_of())
+    # Each group also gets the beginning of one byte less, which other groups share.
+    groups = both.filter(size >= GROUP).select(F.col("group").alias("of")).distinct()
+    above = groups.join(seen.filter(size == GROUP - 1).hint("merge"), F.substring("of", 1, GROUP - 1) == F.col("spelled"))
+    shared = above.select("spelled", F.lit(False).alias("is_word"), *STATS, F.col("of").alias("group"))
+    out = written(streams(both.unionByName(shared), "is_word").mapInArrow(run, "word long, over long"), "telling")
+    forget(found)
+    return out
 
 
 def text_id():
@@ -304,7 +343,7 @@ def evidence(texts: DataFrame, model: Model) -> DataFrame:
 
     Each different word is looked up once; then the telling words are joined to the texts that hold them.
     """
-    telling = written(telling_words(texts, model), "telling")
+    telling = telling_words(texts, model)
     told = BitMap.of(telling, "word")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -359,7 +398,7 @@ def train(labelled: DataFrame) -> Model | None:
     toxic, total = counted.agg(F.sum(F.col("toxic").cast("long")), F.count("*")).first()
     if not toxic or toxic == total:
         return None
-    beginnings = written(count(counted), "beginnings")
+    beginnings = count(counted)
     shortest = [tuple(r) for r in beginnings.filter(F.octet_length("spelled") == 2).collect()]
     if not shortest:
         return None
