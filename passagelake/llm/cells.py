@@ -15,15 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def deal(rows: DataFrame, bucket: list[str], identity: Column, size: int) -> DataFrame:
-    """rows, repeated for each cell they belong to, with low, high (the cell's blocks) and block; sorted by cell."""
-    big = rows.groupBy(*[F.col(c).alias(f"big_{c}") for c in bucket]).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > size)
+def deal(rows: DataFrame, bucket: list[str], identity: Column, size: int, weight: Column | None = None, heaviest: int = 1) -> DataFrame:
+    """rows, repeated for each cell they belong to, with low, high (the cell's blocks) and block; sorted by cell.
+
+    A block has about `size` rows, and with weight a total of about `heaviest`.
+    """
+    parts = F.ceil(F.count("*") / size)
+    if weight is not None:
+        parts = F.greatest(parts, F.ceil(F.sum(weight) / heaviest))
+    big = rows.groupBy(*[F.col(c).alias(f"big_{c}") for c in bucket]).agg(parts.cast("int").alias("n_parts")).filter(F.col("n_parts") > 1)
     on = None
     for c in bucket:
         same = F.col(c) == F.col(f"big_{c}")
         on = same if on is None else on & same
-    blocks = F.ceil(F.coalesce(F.col("n_rows"), F.lit(1)) / size).cast("int")
-    x = rows.join(big, on, "left").withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64(identity), F.col("n_blocks")).cast("int"))
+    x = rows.join(big, on, "left").withColumn("n_blocks", F.coalesce("n_parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(identity), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     x = x.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     x = x.select(*bucket, "low", "high", "block", *[c for c in rows.columns if c not in bucket])
@@ -51,9 +56,13 @@ def cells(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[pa.RecordBa
         yield left
 
 
-def spanning(n: int, neighbours: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of n rows, where neighbours(i) gives linked rows after i."""
-    label = np.arange(n)
+def spanning(n: int, neighbours: Callable[[int], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of n rows, where neighbours(i) gives linked rows after i.
+
+    Rows of equal label are joined from the start; label follows in place.
+    """
+    if label is None:
+        label = np.arange(n)
     out = []
     for i in range(n):
         js = neighbours(i)
