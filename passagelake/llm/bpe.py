@@ -4,7 +4,8 @@ One queue serves all merges of a pre-token. Each merge rank has a bucket: a heap
 of the pre-token's linked list whose pair has that rank. A bitmap with 512 ranks a word marks the
 buckets that are not empty, and an upper level marks the words that are not zero. Two
 find-first-set steps give the lowest rank, so that a pre-token of n bytes costs about n log n, also
-when it is megabytes long. A merge changes the pairs on both sides; their old
+when it is megabytes long. Ranks are counted from the last one down, so that the first set bit is
+an integer's highest one, which its length tells. A merge changes the pairs on both sides; their old
 entries stay in their buckets and are skipped as stale when they come up.
 
 Results: null texts are encoded like empty ones (no ids). Empty table: empty result. Equal rows
@@ -44,14 +45,18 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.vocab[rank] = piece
         if len(self.vocab) > 1 << (2 * WORD):
             raise ValueError(f"at most {1 << (2 * WORD)} ranks")
-        self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # In the queue's own numbers: the last rank is 0, so that lower ranks have higher numbers.
+        self.last = len(self.vocab) - 1
+        self.order = {piece: self.last - rank for piece, rank in ranks.items()}
+        self.byte = [self.order.get(bytes((a,)), self.last + 1) for a in range(256)]
+        self.two = [[self.order.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
+        self.bit = [1 << b for b in range(1 << WORD)]
         self.low = [0] * (1 << WORD)  # empty between two pre-tokens
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -60,77 +65,73 @@ class ByteBPE:
         """Ids of one pre-token.
 
         The queue is written out in place, as calls would cost more than its steps: `buckets` has
-        of each rank the position of its pair, or a heap of positions; bit r % 2**WORD of
-        low[r >> WORD] says whether bucket r is there, bit w of top whether low[w] is not zero.
+        of each number q the position of its pair, or a heap of positions; bit q % 2**WORD of
+        low[q >> WORD] says whether bucket q is there, bit w of top whether low[w] is not zero.
         """
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        get, two, low, bit, last, top = self.order.get, self.two, self.low, self.bit, self.last, 0
+        whole = get(piece)
         if whole is not None:
-            return [whole]
+            return [last - whole]
         n = len(piece)
-        get, low, top = ranks.get, self.low, 0
         buckets: dict[int, int | list[int]] = {}
         token = [self.byte[b] for b in piece]
         after = list(range(1, n + 2))  # start of the next part; n is the end
         before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of a part with the next one; -1: none, or the part is gone
-        new = [(i, r) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
-        for i, r in new:
-            pair[i] = r
+        pair = [two[a][b] for a, b in zip(piece, piece[1:])]  # number of a part with the next one; -1: none, or the part is gone
+        pair.append(-1)
+        new = [(i, q) for i, q in enumerate(pair) if q >= 0]
         while True:
-            for i, r in new:
-                bucket = buckets.get(r)
-                if bucket is None:
-                    buckets[r] = i
-                    w = r >> WORD
-                    low[w] |= 1 << (r & MASK)
-                    top |= 1 << w
-                elif type(bucket) is int:
-                    buckets[r] = [bucket, i] if bucket < i else [i, bucket]
+            for i, q in new:
+                if q not in buckets:
+                    buckets[q] = i
+                    w = q >> WORD
+                    low[w] |= bit[q & MASK]
+                    top |= bit[w]
+                elif type(bucket := buckets[q]) is int:
+                    buckets[q] = [bucket, i] if bucket < i else [i, bucket]
                 else:
                     heapq.heappush(bucket, i)
             if not top:
                 break
             # Find-first-set on both levels: the lowest rank; of its positions the leftmost.
-            w = (top & -top).bit_length() - 1
+            w = top.bit_length() - 1
             bits = low[w]
-            first = bits & -bits
-            rank = (w << WORD) + first.bit_length() - 1
-            bucket = buckets[rank]
-            if type(bucket) is int:
-                i = bucket
-                del buckets[rank]
-                bits ^= first
+            b = bits.bit_length() - 1
+            q = (w << WORD) + b
+            i = buckets[q]
+            if type(i) is int:
+                del buckets[q]
+                bits ^= bit[b]
                 low[w] = bits
                 if not bits:
-                    top &= top - 1
+                    top ^= bit[w]
             else:
+                bucket = i
                 i = heapq.heappop(bucket)
                 if len(bucket) == 1:
-                    buckets[rank] = bucket[0]
+                    buckets[q] = bucket[0]
             new = []
-            if pair[i] != rank:
-                continue  # stale
+            if pair[i] != q:  # stale
+                continue
             j = after[i]
             k = after[j]
-            token[i] = rank
+            token[i] = q
             after[i] = k
             before[k] = i
             pair[j] = pair[i] = -1
-            if k < n and (r := get(piece[i : after[k]])) is not None:
-                pair[i] = r
-                new.append((i, r))
+            if k < n and (q := get(piece[i : after[k]])) is not None:
+                pair[i] = q
+                new.append((i, q))
             h = before[i]
             if h >= 0:
-                r = get(piece[h:k])
-                if r is None:
-                    pair[h] = -1
-                elif pair[h] != r:
-                    pair[h] = r
-                    new.append((h, r))
+                q = get(piece[h:k], -1)
+                if pair[h] != q:
+                    pair[h] = q
+                    if q >= 0:
+                        new.append((h, q))
         out, i = [], 0
         while i < n:
-            out.append(token[i])
+            out.append(last - token[i])
             i = after[i]
         return out
 
