@@ -29,7 +29,7 @@ from passagelake.llm.common import arrow_map
 
 #: Pre-tokens whose ids a worker remembers (about 200 bytes each), up to that length, in each of two
 #: generations: when the new one is full it becomes the old one, and what is met again moves on.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
 CACHE_PIECE = 64
 #: Bits of a rank that one level of the bitmap resolves.
 WORD = 9
@@ -79,56 +79,78 @@ class ByteBPE:
         before = list(range(-1, n))
         pair = [two[a][b] for a, b in zip(piece, piece[1:])]  # number of a part with the next one; -1: none, or the part is gone
         pair.append(-1)
-        new = [(i, q) for i, q in enumerate(pair) if q >= 0]
-        while True:
-            for i, q in new:
-                if q not in buckets:
-                    buckets[q] = i
-                    w = q >> WORD
-                    low[w] |= bit[q & MASK]
-                    top |= bit[w]
-                elif type(bucket := buckets[q]) is int:
-                    buckets[q] = [bucket, i] if bucket < i else [i, bucket]
-                else:
-                    heapq.heappush(bucket, i)
-            if not top:
-                break
+        live = len(pair) - pair.count(-1)  # pairs that can merge; all entries left without one are stale
+        for i, q in enumerate(pair):
+            if q < 0:
+                continue
+            if q not in buckets:
+                buckets[q] = i
+                w = q >> WORD
+                low[w] |= bit[q & MASK]
+                top |= bit[w]
+            elif type(bucket := buckets[q]) is int:
+                buckets[q] = [bucket, i]
+            else:
+                bucket.append(i)
+        while live:
             # Find-first-set on both levels: the lowest rank; of its positions the leftmost.
             w = top.bit_length() - 1
             bits = low[w]
             b = bits.bit_length() - 1
             q = (w << WORD) + b
-            i = buckets[q]
-            if type(i) is int:
+            bucket = buckets[q]
+            if type(bucket) is int:
+                i = bucket
                 del buckets[q]
                 bits ^= bit[b]
                 low[w] = bits
                 if not bits:
                     top ^= bit[w]
             else:
-                bucket = i
                 i = heapq.heappop(bucket)
                 if len(bucket) == 1:
                     buckets[q] = bucket[0]
-            new = []
-            if pair[i] != q:  # stale
-                continue
+            if pair[i] != q:
+                continue  # stale
             j = after[i]
             k = after[j]
             token[i] = q
             after[i] = k
             before[k] = i
+            live -= 1 if pair[j] < 0 else 2
             pair[j] = pair[i] = -1
             if k < n and (q := get(piece[i : after[k]])) is not None:
                 pair[i] = q
-                new.append((i, q))
+                live += 1
+                if q not in buckets:
+                    buckets[q] = i
+                    w = q >> WORD
+                    low[w] |= bit[q & MASK]
+                    top |= bit[w]
+                elif type(bucket := buckets[q]) is int:
+                    buckets[q] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heapq.heappush(bucket, i)
             h = before[i]
-            if h >= 0:
-                q = get(piece[h:k], -1)
-                if pair[h] != q:
-                    pair[h] = q
-                    if q >= 0:
-                        new.append((h, q))
+            if h >= 0 and (q := get(piece[h:k], -1)) != pair[h]:
+                if pair[h] >= 0:
+                    live -= 1
+                pair[h] = q
+                if q >= 0:
+                    live += 1
+                    if q not in buckets:
+                        buckets[q] = h
+                        w = q >> WORD
+                        low[w] |= bit[q & MASK]
+                        top |= bit[w]
+                    elif type(bucket := buckets[q]) is int:
+                        buckets[q] = [bucket, h] if bucket < h else [h, bucket]
+                    else:
+                        heapq.heappush(bucket, h)
+        while top:
+            w = top.bit_length() - 1
+            low[w] = 0
+            top ^= bit[w]
         out, i = [], 0
         while i < n:
             out.append(last - token[i])
