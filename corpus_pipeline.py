@@ -6,8 +6,9 @@ DataFrame; run() writes it as Parquet in the shared folder and reads it again fo
 * toxicity: documents with a score of 0.7 or more go. Unlabelled tables reject nothing.
 * line_dedup: later copies of repeated line runs of 50 words or more are cut out of the texts, and
   n_chars follows; a document of which no word is left goes.
-* simhash: of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more,
-  not op5's bits) the document with the least doc_id stays.
+* simhash: of each group of near duplicates the document with the least doc_id stays. Linked are texts
+  whose SimHash fingerprints differ in 4 bits or fewer, by op5's operator, and those whose five-word
+  shingles have a Jaccard similarity of 0.8 or more.
 * mixing: each source gives its share of all words by the weights 5, 2, 1, ...; a document that is
   taken more than once has a row for each copy.
 * bpe: token ids of every row, and the digests that show that decoding them gives the text back.

@@ -1,12 +1,16 @@
-"""Near copies by the exact Jaccard similarity of word shingles: the pipeline's stage.
+"""Near copies by SimHash and by the exact Jaccard similarity of word shingles: the pipeline's stage.
 
-A text's set is that of its runs of SHINGLE words (lower case; a shorter text is one run). Texts
-with equal sets are one class from the start. Candidates share one of BANDS bands of ROWS minima
+First come op5's links, all of them, found by its operator (simhash.py): texts whose fingerprints
+differ in 4 bits or fewer are one group. But 4 of 64 bits reach few edited copies; so texts of a
+similarity of SIMILAR or more are linked as well, and a group is what both kinds of links join.
+
+For those a text's set is that of its runs of SHINGLE words (lower case; a shorter text is one run).
+Texts with equal sets are one class from the start. Candidates share one of BANDS bands of ROWS minima
 of hashes; a pair of similarity 0.8 misses all bands with probability (1 - 0.8^4)^32 = 5e-8. Every
-link is verified by the exact similarity of the two sets:
+such link is verified by the exact similarity of the two sets:
 
 * first each class with the least class of each of its buckets, so that large groups become one;
-* then the buckets that those links haven't joined: in cells of bounded size (cells.py), to which the
+* then the buckets that those links and SimHash's haven't joined: in cells of bounded size (cells.py), to which the
   classes bring their sets, so that no pair leaves its task unless it is a link that joins two groups.
 
 Results: as simhash.survivors; wordless texts are one class.
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagelake.llm import simhash
 from passagelake.llm.cells import cells, deal, spanning
 from passagelake.llm.common import arrow_map, release, written
 from passagelake.llm.components import connected
@@ -58,14 +63,15 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, fp (the set's hash), n (its size) and bands."""
+    """keep, bits (SimHash's fingerprint), fp (the set's hash), n (its size) and bands."""
 
     def run(x: dict[str, pa.Array]) -> dict[str, pa.Array]:
-        sets = [shingles(t) for t in x["text"].cast(pa.binary()).to_pylist()]
+        texts = x["text"].cast(pa.binary()).to_pylist()
+        sets = [shingles(t) for t in texts]
         fp = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) for s in sets]
-        return {"fp": pa.array(fp, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "bands": pa.array([bands(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64()))}
+        return {"bits": pa.array([simhash.fingerprint(t) for t in texts], pa.int64()), "fp": pa.array(fp, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "bands": pa.array([bands(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
-    return arrow_map(docs, keep, ["text"], run, [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return arrow_map(docs, keep, ["text"], run, [*(T.StructField(c, T.LongType()) for c in ("bits", "fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,15 +132,21 @@ def joining(placed: DataFrame, cell: int = CELL, hashes: int = HASHES) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): verified links between classes (fp, n, h, bands) that join all that are linked."""
+def alike(found: DataFrame) -> DataFrame:
+    """(a, b): of the texts (bits, fp) links between classes that join all whose fingerprints SimHash links."""
+    rows = written(found.select(F.col("fp").alias("doc_id"), F.col("bits").alias("fp")).distinct(), "fingerprints")
+    return written(simhash.grouped(rows).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).filter("a <> b").distinct(), "alike")
+
+
+def links(docs: DataFrame, classes: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b): links between classes (fp, n, h, bands), the first ones and verified ones, that join all that are linked."""
     rows = classes.select("fp", "n", F.posexplode("bands").alias("band", "value"))
     buckets = rows.groupBy(F.col("band").alias("in_band"), F.col("value").alias("in_value")).agg(F.min("fp").alias("least"), F.count("*").alias("size")).filter("size > 1")
     placed = written(rows.join(buckets, (F.col("band") == F.col("in_band")) & (F.col("value") == F.col("in_value"))).select("band", "value", "fp", "n", "least"), "buckets")
     wanted = classes.join(placed.select("fp").distinct(), "fp", "left_semi").select(F.col("h").alias("text_h"), "fp")
     texts = docs.select(F.xxhash64("text").alias("of_h"), "text").join(wanted, F.col("of_h") == F.col("text_h")).dropDuplicates(["fp"])
     sets = written(arrow_map(texts, ["fp"], ["text"], lambda x: {"set": pa.array([shingles(t).view(np.int64).tolist() for t in x["text"].cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))}, [T.StructField("set", T.ArrayType(T.LongType()))]), "sets")
-    stars = written(similar(placed.select(F.col("least").alias("a"), F.col("fp").alias("b")).filter("a <> b").distinct(), sets), "links")
+    stars = written(similar(placed.select(F.col("least").alias("a"), F.col("fp").alias("b")).filter("a <> b").distinct(), sets).unionByName(first), "links")
     joined = connected(stars)
     known = written(placed.join(joined, placed["fp"] == joined["node"], "left").select("band", "value", "fp", "n", F.coalesce("component", "fp").alias("component")), "known")
     # Only buckets that the first links haven't joined are gone through.
@@ -149,7 +161,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     named = {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "h": F.xxhash64("text")}
     found = written(prints(docs.select("doc_id", "text").withColumns(named), ["d", "h"]), "sets-of-shingles")
     classes = written(found.groupBy("fp").agg(F.min("n").alias("n"), F.min("h").alias("h"), F.min("bands").alias("bands")), "classes")
-    group = connected(links(docs, classes))
+    group = connected(links(docs, classes, alike(found)))
     of = found.join(group, found["fp"] == group["node"], "left").select("d", "h", F.coalesce("component", "fp").alias("component"))
     first = of.groupBy("component").agg(F.min(F.struct("d", "h")).alias("first")).select(F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"))
     whole = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in named.items()])

@@ -68,3 +68,27 @@ def test_edited_copies_of_one_text_are_joined_inside_small_blocks(spark):
         got = [(r["a"], r["b"]) for r in nearcopies.joining(placed, cell, hashes).collect()]
         assert {(max(p), min(p)) for p in got} <= set(true)
         assert groups(got) == expected
+
+
+def test_pipeline_links_all_that_simhash_links(spark):
+    """Texts of many equal shingles differ in few bits, while their sets, which hold those once, are not similar."""
+    from passagelake.llm import simhash
+
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(4):
+        said = " ".join(f"w{x}" for x in rng.integers(0, 5000, 5))
+        texts += [" ".join([said] * 150 + [f"w{x}" for x in rng.integers(0, 5000, 12)]) for _ in range(3)]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(4)]
+    bits = [simhash.fingerprint(t.encode()) & (1 << 64) - 1 for t in texts]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            assert 5 * len(sets[a] & sets[b]) < 4 * len(sets[a] | sets[b])
+            if (bits[a] ^ bits[b]).bit_count() <= 4:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert set(root) == {0, 3, 6, 9, 12, 13, 14, 15}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()}
+    assert got == set(root)
