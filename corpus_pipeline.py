@@ -33,11 +33,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    # All columns travel in a struct, so that none can clash with the operator's.
-    done = linededup.deduplicated(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    # All columns but the new ones travel in a struct, so that none can clash with the operator's and no text is carried twice.
+    row = F.struct(*[c for c in docs.columns if c not in new])
+    done = linededup.deduplicated(docs.select("doc_id", "text", row.alias("row")))
     has_word = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
     left = done.filter((F.col("n_deleted") == 0) | has_word)
-    new = {"text": F.col("text"), "n_chars": F.length("text")}
     return left.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("row").getField(f.name).alias(f.name) for f in docs.schema])
 
 
